@@ -6,6 +6,7 @@ from ..operators import issues as iss
 from ..operators import quality as q
 from ..operators import strokes as st
 from .data import DAY, MARKERS, PEN, SAMPLES, markers, pen, rnd, samples
+from ..session import staged
 from .registry import query
 
 
@@ -278,9 +279,11 @@ FLAT = ISSUES.replace("{deep}", "false")
 
 
 def facts(spark, sf):
-    return q.session_facts(
+    """Computed once as a table of one row per session; every view reads it."""
+    f = q.session_facts(
         q_sessions(spark, sf), q_watch(spark, sf), q_pen(spark, sf), q_airpods(spark, sf), q_sync(spark, sf)
     )
+    return staged(f, "facts")
 
 
 @query("d12_coverage", "WITH" + FACTS + """
