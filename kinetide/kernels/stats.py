@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .attach import attach
 from .order import CHUNK, Ordering, scan
 
 # asinh compresses any magnitude, keeps order, and at this resolution one bucket
@@ -74,7 +75,8 @@ def quantiles(
 def mad(df: DataFrame, keys: Sequence[str], value: str, name: str = "mad") -> DataFrame:
     """Median absolute deviation and the median it refers to."""
     med = quantiles(df, keys, value, {"median": 0.5})
-    both = df.join(med, list(keys)) if keys else df.crossJoin(F.broadcast(med))
+    # Without keys the median is a single row.
+    both = attach(df, med, list(keys)) if keys else df.crossJoin(F.broadcast(med))
     dev = both.withColumn("_dev", F.abs(F.col(value) - F.col("median")))
     out = quantiles(dev, keys, "_dev", {name: 0.5})
     return out.join(med, list(keys)) if keys else out.crossJoin(F.broadcast(med))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..kernels import Ordering, islands, mad, quantiles, scan, with_chunks
+from ..kernels import Ordering, attach, islands, mad, quantiles, scan, with_chunks
 from ..kernels.islands import gap_exceeds
 from ..kernels.moving import CENTRED, rolling
 from ..kernels.order import CHUNK, row_numbers
@@ -57,7 +57,7 @@ def motion_variance(watch: DataFrame, *, width: int = SENSOR_CHUNK_MS, max_rows:
         "session_id", "1000.0D / _dt as fs_hz", f"greatest(2, cast({VARIANCE_SECONDS}D * (1000.0D / _dt) as int)) as _w",
         "if(_g = 0, 1.0D, _g) as _g",
     )
-    sized = rows.drop(CHUNK).join(rates, "session_id").filter(F.col("n_rows") >= MIN_SAMPLES)
+    sized = attach(rows.drop(CHUNK), rates, ["session_id"]).filter(F.col("n_rows") >= MIN_SAMPLES)
     out = rolling(
         sized, ["session_id"], "rn", "_w",
         {"_full": "count(*)", **{f"_v{a}": f"var_samp({a})" for a in ACC}, "_sd": "stddev_samp(sqrt(ax*ax + ay*ay + az*az))"},
@@ -158,7 +158,7 @@ def offset_search(
 def half_drift(watch: DataFrame, pen: DataFrame, **options) -> DataFrame:
     """Offset of each half of a session, split at the middle of the watch's local time."""
     mid = watch.groupBy("session_id").agg(((F.min("local_ts") + F.max("local_ts")) / 2.0).alias("_mid"))
-    half = lambda df, t: df.join(mid, "session_id").withColumn(
+    half = lambda df, t: attach(df, mid, ["session_id"]).withColumn(
         "session_id", F.struct("session_id", F.when(F.col(t) < F.col("_mid"), 1).otherwise(2).alias("half"))
     )
     out = offset_search(half(watch, "local_ts"), half(pen, "ts"), **options)
@@ -222,7 +222,7 @@ def motion_peaks(
     limits = mad(rows, ["session_id"], "motion_mag", "_mad").join(
         rows.groupBy("session_id").agg(F.count("*").alias("_n")), "session_id"
     ).filter("_n >= 5").selectExpr("session_id", f"median + greatest({PEAK_FLOOR}D, _mad * {PEAK_MADS}D) as _limit")
-    high = rows.join(limits, "session_id").filter("motion_mag >= _limit").drop("_limit")
+    high = attach(rows, limits, ["session_id"]).filter("motion_mag >= _limit").drop("_limit")
     high = with_chunks(high, ["session_id"], "ts", "_ord", width, max_rows)
     near = islands(high, TIME, ["ts"], gap_exceeds("ts", PEAK_SEPARATION_MS - 1))
     schema = high.select("session_id", "ts", "motion_mag").schema

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lenient_double
-from ..kernels import Ordering, interval_anti, scan, with_chunks
+from ..kernels import Ordering, attach, interval_anti, scan, with_chunks
 from ..schema import ACC, GRAVITY, GYRO, IMU, SENSOR_CHUNK_MS, WRITING_DOTS
 
 TILT_FEATURES = ("tilt_x_mean", "tilt_y_mean", "tilt_z_mean", "tilt_change")
@@ -66,7 +66,7 @@ def device_timeline(df: DataFrame, *, anchored: bool = False) -> DataFrame:
     """
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_ord")))
     heads = df.groupBy("session_id").agg(first("ts").alias("_t0"), first("local_ts").alias("_l0"))
-    joined = df.join(heads, "session_id")
+    joined = attach(df, heads, ["session_id"])
     rel = F.col("ts") - F.col("_t0")
     if anchored:
         rel = rel + F.coalesce(F.col("_l0") - F.col("anchor_local_ms"), F.lit(0))
@@ -157,6 +157,6 @@ def total_acceleration(df: DataFrame) -> DataFrame:
 def route_unsessioned(samples: DataFrame, active: DataFrame) -> DataFrame:
     """Samples take the id of the session active at their source, else ``unsessioned``."""
     live = active.select("source", F.col("session_id").alias("_live"))
-    return samples.join(live, "source", "left").withColumn(
+    return attach(samples, live, ["source"], "left").withColumn(
         "session_id", F.coalesce("_live", F.lit("unsessioned"))
     ).drop("_live")

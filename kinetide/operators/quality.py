@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels import Ordering, mad, quantiles, scan
+from ..kernels import Ordering, attach, mad, quantiles, scan
 from ..kernels.order import CHUNK
 from ..schema import (
     COUNT_TOLERANCE_FLOOR, COUNT_TOLERANCE_SHARE, GRAVITY, HEAD_RATE_HZ, RATE_TOLERANCE,
@@ -200,7 +200,7 @@ def containment(pen: DataFrame, watch_clock: DataFrame) -> DataFrame:
     span = watch_clock.select("session_id", "start_ms", "end_ms")
     inside = F.expr("coalesce(cast(local_ts between start_ms and end_ms as int), 0)")
     return (
-        pen.filter("local_ts is not null").join(span, "session_id", "left")
+        attach(pen.filter("local_ts is not null"), span, ["session_id"], "left")
         .groupBy("session_id").agg(F.avg(inside).alias("in_range_pct"))
     )
 
@@ -241,7 +241,7 @@ def activity_lane(watch: DataFrame, clock: DataFrame, bins: int = HEAT_BINS) ->
     span = clock.filter("end_ms > start_ms").select("session_id", "start_ms", "end_ms")
     at = "cast(floor((local_ts - start_ms) / ((end_ms - start_ms) / {n}D)) as int)".format(n=float(bins))
     rms = (
-        watch.join(span, "session_id").filter("local_ts >= start_ms and local_ts < end_ms")
+        attach(watch, span, ["session_id"]).filter("local_ts >= start_ms and local_ts < end_ms")
         .selectExpr("session_id", f"{at} as bin", "ax*ax + ay*ay + az*az as _sq").filter(f"bin < {bins}")
         .groupBy("session_id", "bin").agg(F.sqrt(F.avg("_sq")).alias("rms"))
     )

@@ -1,4 +1,4 @@
-from . import focus, label, quality, sources  # noqa: F401
+from . import evaluate, focus, label, quality, sources  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
