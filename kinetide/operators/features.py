@@ -225,44 +225,22 @@ def _safe_corr(a: str, b: str) -> Column:
     return F.expr(f"if(stddev_pop({a}) < 1e-12D or stddev_pop({b}) < 1e-12D, 0.0D, corr({a}, {b}))").alias(f"corr_{a}_{b}")
 
 
-def build_windows(
-    samples: DataFrame,
-    *,
-    window_sec: float = 1.0,
-    stride_sec: float = 0.5,
-    fs_hz: float | None = None,
-    min_label_ratio: float = LABEL_RATIO,
-    max_gap_ms: float = LABEL_GAP_MS,
-    max_spike_ms: float = 0,
-    spectral: bool = True,
-    rhythm: bool = False,
-    hard_negative: bool = False,
-    winners: bool = False,
-    width: int = SENSOR_CHUNK_MS,
-    max_rows: int | None = 1_000_000,
-) -> DataFrame:
-    """One row of features, label and centre time per complete window.
-
-    Input is merged samples with ``label_writing``; gravity features appear when
-    the gravity columns do, and are NULL for sessions with any gap in them.
-    """
-    clean = samples.filter(" and ".join(f"{c} is not null" for c in (*IMU, "ts")))
-    clean = close_labels(clean, "label_writing", max_gap_ms=max_gap_ms, max_spike_ms=max_spike_ms, width=width, max_rows=max_rows)
-    # Every later pass orders these rows again: labelled samples become a table first.
-    clean = staged(clean, "closed-labels")
-    clean = clean.selectExpr("*", "sqrt(ax*ax + ay*ay + az*az) as acc_mag", "sqrt(rx*rx + ry*ry + rz*rz) as gyro_mag")
-    tilt = all(c in samples.columns for c in GRAVITY)
-    if tilt:
-        clean = clean.selectExpr("*", "sqrt(gx*gx + gy*gy + gz*gz) as _g").withColumn("_g", F.expr("if(_g > 1e-6, _g, 1.0D)"))
+def step_exprs(tilt: bool) -> list[str]:
+    """Sample-level derivatives against the preceding row ``_p``, and gravity angles."""
     moving = [*IMU, *MAGNITUDES]
-    rows = number_samples(clean, fs_hz=fs_hz, width=width, max_rows=max_rows, prev=[*moving, *((*GRAVITY, "_g") if tilt else ())])
     steps = [f"({c} - _p.{c}) * fs_hz as j_{c}" for c in moving]
     if tilt:
         clip = lambda e: f"acos(greatest(-1.0D, least(1.0D, {e})))"
         steps += [f"{clip(f'g{a} / _g')} as t_{a}" for a in "xyz"]
         steps.append(f"{clip('(gx*_p.gx + gy*_p.gy + gz*_p.gz) / (_g * _p._g)')} as t_step")
-    w = to_windows(rows.selectExpr("*", *steps).drop("_p"), window_sec, stride_sec)
+    return steps
 
+
+def window_features(
+    w: DataFrame, *, tilt: bool = False, spectral: bool = True, rhythm: bool = False, hard_negative: bool = False, winners: bool = False
+) -> DataFrame:
+    """Aggregate windowed samples (session_id, k, _head, steps) into one feature row per window."""
+    moving = [*IMU, *MAGNITUDES]
     aggs = []
     for a in IMU:
         aggs += [F.expr(e).alias(f"{a}_{n}") for n, e in (
@@ -281,9 +259,9 @@ def build_windows(
         gap = F.expr("count_if(gx is null or gy is null or gz is null)").alias("_gaps")
         aggs += [F.avg(f"t_{a}").alias(f"tilt_{a}_mean") for a in "xyz"]
         aggs += [F.expr("coalesce(avg(if(_head, null, t_step)), 0.0D)").alias("tilt_change"), gap]
-    if "task_id" in samples.columns:
+    if "task_id" in w.columns:
         aggs.append(F.expr("mode(task_id, true)").alias("task_id"))
-    if "task_category" in samples.columns:
+    if "task_category" in w.columns:
         aggs.append(F.expr("mode(task_category, true)").alias("task_category"))
     aggs += [
         F.avg("label_writing_closed").alias("writing_share"), F.avg("ts").alias("t_center_ms"), F.max("fs_hz").alias("fs_hz"),
@@ -323,6 +301,42 @@ def build_windows(
         out = out.selectExpr("*", *exprs).drop(*[f"_{p}_{a}" for p in "ov" for a in IMU])
     if need:
         out = out.drop(*[f"_x_{a}" for a in arrays])
+    return out
+
+
+def build_windows(
+    samples: DataFrame,
+    *,
+    window_sec: float = 1.0,
+    stride_sec: float = 0.5,
+    fs_hz: float | None = None,
+    min_label_ratio: float = LABEL_RATIO,
+    max_gap_ms: float = LABEL_GAP_MS,
+    max_spike_ms: float = 0,
+    spectral: bool = True,
+    rhythm: bool = False,
+    hard_negative: bool = False,
+    winners: bool = False,
+    width: int = SENSOR_CHUNK_MS,
+    max_rows: int | None = 1_000_000,
+) -> DataFrame:
+    """One row of features, label and centre time per complete window.
+
+    Input is merged samples with ``label_writing``; gravity features appear when
+    the gravity columns do, and are NULL for sessions with any gap in them.
+    """
+    clean = samples.filter(" and ".join(f"{c} is not null" for c in (*IMU, "ts")))
+    clean = close_labels(clean, "label_writing", max_gap_ms=max_gap_ms, max_spike_ms=max_spike_ms, width=width, max_rows=max_rows)
+    # Every later pass orders these rows again: labelled samples become a table first.
+    clean = staged(clean, "closed-labels")
+    clean = clean.selectExpr("*", "sqrt(ax*ax + ay*ay + az*az) as acc_mag", "sqrt(rx*rx + ry*ry + rz*rz) as gyro_mag")
+    tilt = all(c in samples.columns for c in GRAVITY)
+    if tilt:
+        clean = clean.selectExpr("*", "sqrt(gx*gx + gy*gy + gz*gz) as _g").withColumn("_g", F.expr("if(_g > 1e-6, _g, 1.0D)"))
+    moving = [*IMU, *MAGNITUDES]
+    rows = number_samples(clean, fs_hz=fs_hz, width=width, max_rows=max_rows, prev=[*moving, *((*GRAVITY, "_g") if tilt else ())])
+    w = to_windows(rows.selectExpr("*", *step_exprs(tilt)).drop("_p"), window_sec, stride_sec)
+    out = window_features(w, tilt=tilt, spectral=spectral, rhythm=rhythm, hard_negative=hard_negative, winners=winners)
     return out.withColumn("label", F.expr(f"cast(writing_share >= {min_label_ratio}D as int)"))
 
 

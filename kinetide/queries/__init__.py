@@ -1,4 +1,4 @@
-from . import evaluate, features, focus, label, models, quality, sources  # noqa: F401
+from . import evaluate, features, focus, label, models, quality, sources, streams, study  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -33,14 +33,15 @@ def _(spark, sf):
 
 def agg_query(name, pairs):
     """Register window aggregates with their SQL."""
-    sql = "WITH" + WIN + " SELECT session_id, k, " + ", ".join(f"round({e}, 7) + 0.0 AS {c}" for c, e in pairs) + " FROM win GROUP BY 1, 2"
+    sql = "WITH" + WIN + " SELECT session_id, k, " + ", ".join(f"round({e} + 1e-9, 7) + 0.0 AS {c}" for c, e in pairs) + " FROM win GROUP BY 1, 2"
 
     @query(name, sql)
     def _(spark, sf):
         cols = [c for c, _ in pairs]
         hard = any(c.startswith(("rx_jerk", "corr_ax_rx")) for c in cols)
         w = ft.build_windows(merged(spark, sf), spectral=False, hard_negative=hard, **OPTS)
-        return r6(w.select("session_id", "k", *cols), *cols, d=7)
+        # The offset keeps exact decimal ties from rounding either way.
+        return r6(w.select("session_id", "k", *[(F.col(c) + 1e-9).alias(c) for c in cols]), *cols, d=7)
 
 
 STAT_SQL = {"mean": "avg({a})", "std": "stddev_pop({a})", "min": "min({a})", "max": "max({a})", "rms": "sqrt(avg({a} * {a}))", "range": "max({a}) - min({a})"}
