@@ -16,8 +16,13 @@ from pyspark.sql import DataFrame
 GroupFn = Callable[[dict[str, list]], dict[str, list]]
 
 
-def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: GroupFn, schema: str) -> DataFrame:
-    """Apply ``fn`` (columns of a group in order -> output columns) to every group."""
+def map_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: GroupFn, schema: str, *, arrays: bool = False
+) -> DataFrame:
+    """Apply ``fn`` (columns of a group in order -> output columns) to every group.
+
+    Columns come as lists of plain values, or as numpy slices with ``arrays``.
+    """
     keys, order = list(keys), list(order)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_df = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
@@ -29,7 +34,7 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Gro
             cols = {c: pdf[c].to_numpy() for c in pdf.columns}
             out: dict[str, list] = {}
             for i, j in zip(bounds[:-1], bounds[1:]):
-                for name, values in fn({c: a[i:j].tolist() for c, a in cols.items()}).items():
+                for name, values in fn({c: a[i:j] if arrays else a[i:j].tolist() for c, a in cols.items()}).items():
                     out.setdefault(name, []).extend(values)
             return pd.DataFrame(out)
 

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import Ordering, attach, islands, mad, quantiles, scan, with_chunks
+from ..kernels.groups import map_groups
 from ..kernels.islands import gap_exceeds
 from ..kernels.moving import CENTRED, rolling
-from ..kernels.order import CHUNK, row_numbers
+from ..kernels.order import CHUNK
 from ..schema import ACC, SENSOR_CHUNK_MS, SIGMA_OK
 from ..session import staged
 from .strokes import ARRIVAL, TIME, by_arrival, strokes
@@ -27,6 +28,9 @@ TAP_MAX_MS, TAP_MAX_DOTS, TAP_KEEP_EACH, TAP_SEARCH_MS = 1400, 80, 12, 1600
 HIGH_MATCHES, HIGH_ERROR_MS, LOW_ERROR_MS = 6, 350, 900
 
 _ROW_BLOCK = 1 << 16
+_SHIFT_BLOCK = 1 << 15
+# Strokes last about a second: finer buckets than chunks keep the range join narrow.
+MASK_BUCKET_MS = 1000
 
 
 def pen_strokes(pen: DataFrame) -> DataFrame:
@@ -46,9 +50,11 @@ def motion_variance(watch: DataFrame, *, width: int = SENSOR_CHUNK_MS, max_rows:
     """
     rows = watch.filter("ts is not null and ax is not null and ay is not null and az is not null")
     rows = with_chunks(rows.select("session_id", "_ord", "ts", *ACC), ["session_id"], "ts", "_ord", width, max_rows)
-    rows = row_numbers(rows, TIME, "rn", total="n_rows")
-    steps = scan(rows.select("session_id", CHUNK, "ts", "_ord"), TIME, prev={"_p": ["ts"]})
-    dt = quantiles(steps.selectExpr("session_id", "ts - _p.ts as dt"), ["session_id"], "dt", {"_dt": 0.5})
+    one = F.lit(1).cast("long")
+    rows = scan(rows, TIME, sums={"rn": one}, totals={"n_rows": one}, prev={"_p": ["ts"]})
+    # Numbered samples feed two quantiles and the rolling pass.
+    rows = staged(rows.selectExpr("session_id", "_ord", "ts", *ACC, "rn - 1 as rn", "n_rows", "ts - _p.ts as dt"), "numbered")
+    dt = quantiles(rows, ["session_id"], "dt", {"_dt": 0.5})
     norm = quantiles(
         rows.selectExpr("session_id", "sqrt(ax*ax + ay*ay + az*az) as _g"), ["session_id"], "_g", {"_g": 0.5}
     )
@@ -57,7 +63,7 @@ def motion_variance(watch: DataFrame, *, width: int = SENSOR_CHUNK_MS, max_rows:
         "session_id", "1000.0D / _dt as fs_hz", f"greatest(2, cast({VARIANCE_SECONDS}D * (1000.0D / _dt) as int)) as _w",
         "if(_g = 0, 1.0D, _g) as _g",
     )
-    sized = attach(rows.drop(CHUNK), rates, ["session_id"]).filter(F.col("n_rows") >= MIN_SAMPLES)
+    sized = attach(rows, rates, ["session_id"]).filter(F.col("n_rows") >= MIN_SAMPLES)
     out = rolling(
         sized, ["session_id"], "rn", "_w",
         {"_full": "count(*)", **{f"_v{a}": f"var_samp({a})" for a in ACC}, "_sd": "stddev_samp(sqrt(ax*ax + ay*ay + az*az))"},
@@ -84,28 +90,69 @@ def _mask_edges(samples: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     return w.groupBy("session_id", "e.i").agg(F.sum("e.w").alias("w")).filter("w <> 0")
 
 
-def _objective(edges: DataFrame, prefix: DataFrame, grid: DataFrame) -> DataFrame:
-    """Mean variance under the mask shifted by each row count ``d`` in ``grid``.
+def _shift_sums(points: int, step: float):
+    """Kernel of one row block: masked sums of v for every shift of the grid.
+
+    ``j`` counts rows from 1, S[j] is the sum of v up to row j, S[0] = 0.  Borders
+    and the S values they can reach under any shift arrive together.
+    """
+
+    def run(g: dict[str, np.ndarray]) -> dict[str, list]:
+        j, w = g["j"].astype(np.int64), g["w"].astype(np.int64)
+        is_edge = w != 0
+        if not is_edge.any():
+            return {}
+        n, total = int(g["n_rows"][0]), float(g["s_total"][0])
+        d = np.unique(np.rint((g["start"][0] + np.arange(points) * step) * g["fs_hz"][0]).astype(np.int64))
+        known = ~is_edge
+        low = int(j[known].min()) if known.any() else 0
+        table = np.zeros((int(j[known].max()) if known.any() else 0) - low + 1)
+        table[j[known] - low] = g["s"][known]
+        num, cnt = np.zeros(len(d)), np.zeros(len(d), dtype=np.int64)
+        ej, ew = j[is_edge], w[is_edge]
+        for at in range(0, len(ej), 256):
+            idx = np.clip(ej[at:at + 256, None] + d[None, :], 0, n)
+            s = np.where(idx == n, total, np.where(idx == 0, 0.0, table[np.clip(idx - low, 0, len(table) - 1)]))
+            num += (ew[at:at + 256, None] * s).sum(axis=0)
+            cnt += (ew[at:at + 256, None] * idx).sum(axis=0)
+        size = len(d)
+        return {"session_id": [g["session_id"][0]] * size, "d": d.tolist(), "num": num.tolist(), "cnt": cnt.tolist()}
+
+    return run
+
+
+def _objective(edges: DataFrame, prefix: DataFrame, base: DataFrame, step: float, points: int) -> DataFrame:
+    """Mean variance under the mask shifted by each row count ``d`` of the grid.
 
     With running sums S of v, the sum over a shifted range is a difference of two
     entries of S, so the cost is borders times grid, not samples times grid.
+    Rows meet in blocks of their session; an S value is copied to the one or two
+    blocks whose shifts can reach it.  ``base``: session_id, n_rows, fs_hz,
+    s_total and the grid's ``start`` in seconds.
     """
-    sizes = grid.select("session_id", "n_rows", "d").distinct()
-    points = edges.join(sizes, "session_id").selectExpr(
-        "session_id", "d", "w", "least(i + d, n_rows - 1) as rn"
-    ).filter("rn >= 0")
-    looked = points.join(prefix, ["session_id", "rn"])
-    return looked.groupBy("session_id", "d").agg(
-        F.sum(F.col("w") * F.col("s")).alias("_s"), F.sum(F.col("w") * (F.col("rn") + 1)).alias("_n")
-    ).selectExpr("session_id", "d", "case when _n > 0 then _s / _n end as value")
-
-
-def _grid(base: DataFrame, start: str, step: float, points: int) -> DataFrame:
-    return base.selectExpr(
-        "*", f"explode(sequence(0, {points - 1})) as i"
-    ).selectExpr("*", f"{start} + i * {step}D as delta_sec").selectExpr(
-        "*", "cast(bround(delta_sec * fs_hz) as bigint) as d"
+    rows = prefix.selectExpr("session_id", "rn + 1 as j", "s", "0L as w").unionByName(
+        edges.selectExpr("session_id", "i + 1 as j", "cast(null as double) as s", "w")
+    )
+    rows = attach(rows, base.select("session_id", "n_rows", "fs_hz", "s_total", "start"), ["session_id"], spread="j")
+    lo, hi = "floor(start * fs_hz) - 1", f"ceil((start + {points * step}D) * fs_hz) + 1"
+    own = f"floor(j / {_SHIFT_BLOCK})"
+    rows = rows.selectExpr(
+        "*", f"explode(if(w <> 0, array({own}), filter(sequence(floor((j - ({hi})) / {_SHIFT_BLOCK}), "
+        f"floor((j - ({lo})) / {_SHIFT_BLOCK})), b -> b >= 0))) as _blk",
+    )
+    key = dict(rows.dtypes)["session_id"]
+    parts = map_groups(
+        rows, ["session_id", "_blk"], ["j"], _shift_sums(points, step), f"session_id {key}, d bigint, num double, cnt bigint", arrays=True
     )
+    return parts.groupBy("session_id", "d").agg(F.sum("num").alias("_s"), F.sum("cnt").alias("_n")).selectExpr(
+        "session_id", "d", "case when _n > 0 then _s / _n end as value"
+    )
+
+
+def _grid(base: DataFrame, step: float, points: int) -> DataFrame:
+    return base.selectExpr("*", f"explode(sequence(0, {points - 1})) as i").selectExpr(
+        "*", f"start + i * {step}D as delta_sec"
+    ).selectExpr("*", "cast(bround(delta_sec * fs_hz) as bigint) as d")
 
 
 def offset_search(
@@ -121,22 +168,27 @@ def offset_search(
     v = staged(motion_variance(watch, width=width, max_rows=max_rows), "motion")
     spans = pen_strokes(pen)
     n_strokes = spans.groupBy("session_id").agg(F.count("*").alias("n_strokes"))
-    edges = staged(_mask_edges(v.select("session_id", "ts", "rn"), spans, width), "mask-edges")
+    edges = staged(_mask_edges(v.select("session_id", "ts", "rn"), spans, MASK_BUCKET_MS), "mask-edges")
     by_row = v.select("session_id", "rn", "v").withColumn(CHUNK, F.floor(F.col("rn") / _ROW_BLOCK))
     prefix = scan(by_row, Ordering(("session_id",), ("rn",)), sums={"s": F.col("v")}).select("session_id", "rn", "s")
-    base = v.groupBy("session_id").agg(F.max("n_rows").alias("n_rows"), F.max("fs_hz").alias("fs_hz")).join(
-        n_strokes, "session_id"
-    )
+    prefix = staged(prefix, "motion-sums")
+    base = v.groupBy("session_id").agg(
+        F.max("n_rows").alias("n_rows"), F.max("fs_hz").alias("fs_hz"), F.sum("v").alias("s_total")
+    ).join(n_strokes, "session_id")
     lo, hi, step = coarse
-    rough = _grid(base, f"{lo}D", step, int(np.ceil((hi - lo) / step)))
-    scored = rough.join(_objective(edges, prefix, rough), ["session_id", "d"], "left")
+    points = int(np.ceil((hi - lo) / step))
+    first = base.withColumn("start", F.lit(float(lo)))
+    scored = _grid(first, step, points).join(_objective(edges, prefix, first, step, points), ["session_id", "d"], "left")
     # No shift with any masked sample: the search falls back to zero.
     best = scored.groupBy("session_id").agg(
         F.max("n_rows").alias("n_rows"), F.max("fs_hz").alias("fs_hz"), F.max("n_strokes").alias("n_strokes"),
+        F.max("s_total").alias("s_total"),
         F.coalesce(F.min_by("delta_sec", F.when(F.col("value").isNotNull(), F.struct("value", "i"))), F.lit(0.0)).alias("coarse_sec"),
     )
-    fine = _grid(best, f"coarse_sec - {FINE_HALF}D", FINE_STEP, round(2 * FINE_HALF / FINE_STEP))
-    curve = fine.join(_objective(edges, prefix, fine), ["session_id", "d"], "left")
+    # One row per session, needed twice by the fine pass.
+    best = staged(best.withColumn("start", F.col("coarse_sec") - F.lit(FINE_HALF)), "coarse-offsets")
+    points = round(2 * FINE_HALF / FINE_STEP)
+    curve = _grid(best, FINE_STEP, points).join(_objective(edges, prefix, best, FINE_STEP, points), ["session_id", "d"], "left")
     if keep_curve:
         return curve.select("session_id", "i", "delta_sec", "value")
     known = F.when(F.col("value").isNotNull(), F.struct("value", "i"))

@@ -285,12 +285,12 @@ def smoothed(
 
     Rows per scale follow from the session's median step.
     """
-    rows = row_numbers(in_time(oof, width, max_rows), TIME)
-    steps = scan(rows.select("session_id", CHUNK, "t_center_ms", "_ord"), TIME, prev={"_p": ["t_center_ms"]})
-    step = quantiles(
-        steps.selectExpr("session_id", "t_center_ms - _p.t_center_ms as _dt"), ["session_id"], "_dt", {"_step": 0.5}
+    one = F.lit(1).cast("long")
+    rows = scan(in_time(oof, width, max_rows), TIME, sums={"rn": one}, prev={"_p": ["t_center_ms"]}).selectExpr(
+        *oof.drop(CHUNK).columns, "rn - 1 as rn", "t_center_ms - _p.t_center_ms as _dt"
     )
-    sized = attach(rows.drop(CHUNK), step, ["session_id"], "left").withColumn(
+    step = quantiles(rows, ["session_id"], "_dt", {"_step": 0.5})
+    sized = attach(rows.drop("_dt"), step, ["session_id"], "left").withColumn(
         "_step", F.expr(f"if(coalesce(_step, 0) = 0, {STRIDE_FALLBACK_MS}D, _step)")
     ).select("*", F.explode(F.array(*[F.lit(float(s)) for s in scales])).alias("scale"))
     sized = sized.withColumn("_n", F.expr(f"greatest(1, cast(bround(scale * {unit_ms}D / _step) as bigint))"))
