@@ -48,10 +48,13 @@ def ranked(
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, qs: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, qs: Mapping[str, float], weight: str | None = None
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per key: ``{output: q}``."""
-    rows = ranked(df, keys, value, {"_n": F.lit(1).cast("long")})
+    """Exact linearly interpolated quantiles per key: ``{output: q}``.
+
+    ``weight`` names a column of whole repeat counts.
+    """
+    rows = ranked(df, keys, value, {"_n": (F.col(weight) if weight else F.lit(1)).cast("long")})
     lo_rank, hi_rank = F.col("_n_cum") - F.col("_n"), F.col("_n_cum")
     aggs = []
     for name, q in qs.items():
@@ -74,11 +77,13 @@ def quantiles(
 
 def mad(df: DataFrame, keys: Sequence[str], value: str, name: str = "mad") -> DataFrame:
     """Median absolute deviation and the median it refers to."""
-    med = quantiles(df, keys, value, {"median": 0.5})
+    # Both medians work on distinct values with their counts; rows are read once.
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_w"))
+    med = quantiles(counts, keys, value, {"median": 0.5}, "_w")
     # Without keys the median is a single row.
-    both = attach(df, med, list(keys)) if keys else df.crossJoin(F.broadcast(med))
+    both = attach(counts, med, list(keys), spread=value) if keys else counts.crossJoin(F.broadcast(med))
     dev = both.withColumn("_dev", F.abs(F.col(value) - F.col("median")))
-    out = quantiles(dev, keys, "_dev", {name: 0.5})
+    out = quantiles(dev, keys, "_dev", {name: 0.5}, "_w")
     return out.join(med, list(keys)) if keys else out.crossJoin(F.broadcast(med))
 
 

@@ -17,6 +17,7 @@ from ..schema import (
     COUNT_TOLERANCE_FLOOR, COUNT_TOLERANCE_SHARE, GRAVITY, HEAD_RATE_HZ, RATE_TOLERANCE,
     SIGMA_TRAINABLE, TRAINABLE_SECONDS,
 )
+from ..session import staged
 from .strokes import ARRIVAL, by_arrival, pen_intervals
 
 BATCH_CHUNK = 1 << 16
@@ -263,7 +264,8 @@ def session_facts(
     sessions   session_id, status, start_ms, end_ms, watch_samples, pen_samples, airpods_samples
     airpods    stream_summary rows;  sync: session_id, sigma, delta_ms
     """
-    wc, pc = clock_summary(watch), clock_summary(pen)
+    # One row per session each, read by several facts.
+    wc, pc = staged(clock_summary(watch), "watch-clock"), staged(clock_summary(pen), "pen-clock")
     pen_rows = pen.groupBy("session_id").agg(
         F.count("*").alias("pen_rows"), F.count("ts").alias("pen_ts_rows"),
         F.count_if(F.col("has_local_ts_ms")).alias("pen_server_rows"),

@@ -13,6 +13,10 @@ _fallback: dict[str, str] = {}
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings every plan relies on; safe to call repeatedly."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # One machine: as many partitions as threads.  A cluster keeps its own setting.
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark
 
 
