@@ -358,42 +358,59 @@ def pooled_stats_by_fold(df: DataFrame, cols: Sequence[str], group: str = "perso
     for c in cols:
         aggs += [F.avg(c).alias(f"_a_{c}"), F.var_pop(c).alias(f"_v_{c}"), F.count(c).alias(f"_c_{c}")]
     own = df.groupBy(group).agg(*aggs)
-    out = [F.col(f"h.{group}").alias(group)]
-    pairs = own.alias("h").join(own.alias("t"), F.col(f"h.{group}") != F.col(f"t.{group}"))
-    agg = []
+    sums = []
     for c in cols:
-        n, a, v = (F.col(f"t._{x}_{c}") for x in ("c", "a", "v"))
-        agg += [F.sum(n).alias(f"_n_{c}"), F.sum(n * a).alias(f"_x_{c}"), F.sum(n * (v + a * a)).alias(f"_q_{c}")]
-    folds = pairs.groupBy(out[0]).agg(*agg)
+        n, a, v = (F.col(f"_{x}_{c}") for x in ("c", "a", "v"))
+        sums += [n.alias(f"n_{c}"), (n * a).alias(f"x_{c}"), (n * (v + a * a)).alias(f"q_{c}")]
+    own = own.select(group, *[F.coalesce(e, F.lit(0)).alias(nm) for e, nm in zip(sums, [f"{t}_{c}" for c in cols for t in "nxq"])])
+    names = [c for c in own.columns if c != group]
+    total = own.agg(*[F.sum(c).alias(f"t_{c}") for c in names])  # one row
+    rest = own.crossJoin(F.broadcast(total)).select(group, *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in names])
     exprs = []
     for c in cols:
-        var = f"((_q_{c} - _x_{c} * _x_{c} / _n_{c}) / (_n_{c} - 1))"
-        exprs += [f"_x_{c} / _n_{c} as _m_{c}", f"coalesce(nullif(sqrt(greatest({var}, 0.0D)), 0), 1.0D) as _s_{c}"]
-    return folds.selectExpr(group, *exprs)
+        var = f"((q_{c} - x_{c} * x_{c} / n_{c}) / (n_{c} - 1))"
+        exprs += [f"x_{c} / n_{c} as _m_{c}", f"coalesce(nullif(sqrt(greatest({var}, 0.0D)), 0), 1.0D) as _s_{c}"]
+    return rest.selectExpr(group, *exprs)
 
 
-def fold_rows(df: DataFrame, group: str = "person_id") -> DataFrame:
-    """Role of each group in every fold: own group test, the others train."""
-    g = df.select(group).distinct()
-    pairs = g.select(F.col(group).alias("held_out")).crossJoin(g)  # groups by groups, not rows
-    return pairs.withColumn("role", F.when(F.col("held_out") == F.col(group), "test").otherwise("train"))
+def fold_sums(df: DataFrame, sums: Mapping[str, Column], group: str = "person_id") -> DataFrame:
+    """Sums over the test group and over the training groups of every fold.
+
+    Training sums are the total minus the group's own, so folds never pair up.
+    """
+    own = df.groupBy(group).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    total = own.agg(*[F.sum(n).alias(f"_{n}") for n in sums])  # one row
+    both = own.crossJoin(F.broadcast(total))
+    pair = lambda role, f: F.struct(F.lit(role).alias("role"), *[f(n).alias(n) for n in sums])
+    roles = F.array(pair("test", F.col), pair("train", lambda n: F.col(f"_{n}") - F.col(n)))
+    return both.select(F.col(group).alias("held_out"), F.inline(roles))
+
+
+def ranked_groups(df: DataFrame, group: str, order: Column | None = None) -> DataFrame:
+    """Distinct groups with their position in the given order, without sorting them in one task."""
+    g = df.select(group).distinct().withColumn("_one", F.lit(1))
+    key = order if order is not None else F.col(group)
+    # Names that are no numbers share one key and are ordered by name.
+    g = g.withColumn("_key", F.coalesce(key.try_cast("long"), F.lit(0).cast("long"))).withColumn(CHUNK, F.shiftright("_key", 40 if order is not None else 12))
+    return row_numbers(g, Ordering(("_one",), ("_key", group)), "_i", total="_n").drop("_one", "_key", CHUNK)
 
 
 def rotating_roles(df: DataFrame, group: str = "person_id") -> DataFrame:
-    """Test group i, validation group i+1 (wrapping), the rest training; needs three groups."""
-    g = df.select(group).distinct()
-    w = Window.orderBy(group)  # one row per group
-    numbered = g.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1))))
-    folds = numbered.filter("_n >= 3").select(F.col(group).alias("held_out"), F.col("_i").alias("_h"), F.col("_n").alias("_m"))
-    return folds.crossJoin(numbered.select(group, "_i")).selectExpr(
+    """Test group i, validation group i+1 (wrapping), the rest training; needs three groups.
+
+    The result lists every group in every fold by definition.
+    """
+    numbered = ranked_groups(df, group).filter("_n >= 3")
+    folds = numbered.selectExpr(f"{group} as held_out", "_i as _h", "_n as _m", "explode(sequence(0L, _n - 1)) as _i")
+    return folds.join(numbered.select(group, "_i"), "_i").selectExpr(
         "held_out", group, "case when _i = _h then 'test' when _i = (_h + 1) % _m then 'validation' else 'train' end as role"
     )
 
 
 def grouped_folds(df: DataFrame, k: int, group: str = "person_id", seed: int = 42) -> DataFrame:
     """Groups in shuffled order dealt round robin over ``k`` folds."""
-    w = Window.orderBy(F.xxhash64(F.col(group), F.lit(seed)), F.col(group))  # one row per group
-    return df.select(group).distinct().withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)))
+    ranked_by_hash = ranked_groups(df, group, F.xxhash64(F.col(group), F.lit(seed)))
+    return ranked_by_hash.selectExpr(group, f"cast(_i % {k} as int) as fold")
 
 
 # ── paired tests and comparisons ────────────────────────────────────────────

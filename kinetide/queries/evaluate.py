@@ -355,11 +355,8 @@ def _(spark, sf):
   FROM (SELECT DISTINCT person_id FROM samples) h CROSS JOIN samples s GROUP BY 1, 2""")
 def _(spark, sf):
     s = samples(spark, sf)
-    own = s.groupBy("person_id").agg(F.count("*").alias("n"), F.sum("v").alias("sv"))
-    # Fold statistics come from per-person sums; windows are never repeated per fold.
-    out = ev.fold_rows(s).join(own, "person_id").groupBy("held_out", "role").agg(
-        F.sum("n").alias("n"), (F.sum("sv") / F.sum("n")).alias("mean_v")
-    )
+    one = F.lit(1).cast("long")
+    out = ev.fold_sums(s, {"n": one, "sv": F.col("v")}).selectExpr("held_out", "role", "n", "sv / n as mean_v")
     return r6(out, "mean_v")
 
 

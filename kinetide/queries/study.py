@@ -13,10 +13,10 @@ from .registry import query
 
 
 def protocol_json(spark, sf):
-    """One protocol per brand with its parts as tasks, written as JSON files."""
+    """One protocol per brand and block of 500 parts, with its parts as tasks, written as JSON files."""
     path = fresh_path(spark, "protocols")
     p = table(spark, sf, "part").selectExpr(
-        "p_brand as id", "struct(p_partkey as o, concat('p', cast(if(p_size = 50, 0, p_partkey) as string)) as id, p_name as label, "
+        "concat(p_brand, '-', cast(p_partkey div 500 as string)) as id", "struct(p_partkey as o, concat('p', cast(if(p_size = 50, 0, p_partkey) as string)) as id, p_name as label, "
         "if(p_size % 3 = 0, 'idle', 'writing') as category, p_size as duration_seconds, cast(p_partkey % 3 + 1 as int) as instances) as t",
     )
     tasks = p.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("tasks"))
@@ -26,8 +26,8 @@ def protocol_json(spark, sf):
     return spark.read.schema(sd.PROTOCOL).json(path)
 
 
-PT = """pt AS (SELECT p_brand AS protocol_id, p_partkey, 'p' || CASE WHEN p_size = 50 THEN 0 ELSE p_partkey END AS task_id, CASE WHEN p_size % 3 = 0 THEN 'idle' ELSE 'writing' END AS category, p_size AS duration_seconds, p_partkey % 3 + 1 AS instances,
-  row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part), bad AS (SELECT protocol_id FROM pt GROUP BY 1 HAVING count(DISTINCT task_id) < count(*) OR min(duration_seconds) <= 0), ok AS (SELECT * FROM pt WHERE protocol_id NOT IN (SELECT protocol_id FROM bad))"""
+PT = """pt0 AS (SELECT *, p_brand || '-' || (p_partkey // 500) AS protocol_id FROM part), pt AS (SELECT protocol_id, p_partkey, 'p' || CASE WHEN p_size = 50 THEN 0 ELSE p_partkey END AS task_id, CASE WHEN p_size % 3 = 0 THEN 'idle' ELSE 'writing' END AS category, p_size AS duration_seconds, p_partkey % 3 + 1 AS instances,
+  row_number() OVER (PARTITION BY protocol_id ORDER BY p_partkey) - 1 AS pos FROM pt0), bad AS (SELECT protocol_id FROM pt GROUP BY 1 HAVING count(DISTINCT task_id) < count(*) OR min(duration_seconds) <= 0), ok AS (SELECT * FROM pt WHERE protocol_id NOT IN (SELECT protocol_id FROM bad))"""
 
 
 @query("j1_protocol_scan", "WITH " + PT + " SELECT protocol_id, task_id, category, CAST(duration_seconds AS INT) AS duration_seconds, CAST(instances AS INT) AS instances FROM ok")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..kernels import Ordering
+from ..kernels.order import CHUNK, row_numbers
+
 
 def upsert(index: DataFrame, updates: DataFrame) -> DataFrame:
     """Overwrite non-NULL update columns, keep the rest, add unknown sessions."""
@@ -73,15 +76,14 @@ def next_session_id(*id_tables: DataFrame) -> DataFrame:
 
 
 def subject_index(index: DataFrame) -> DataFrame:
-    """1-based order in which persons first appear among study sessions.
-
-    Ranks persons, not sessions: the single ordered window sees one row each.
-    """
+    """1-based order in which persons first appear among study sessions."""
     first = (
         index.filter("lower(trim(study_mode)) = 'study' and trim(cast(person_id as string)) <> ''")
         .groupBy("person_id").agg(F.min("_ord").alias("first_ord"))
     )
-    return first.withColumn("subject_index", F.row_number().over(Window.orderBy("first_ord")))
+    first = first.withColumn("_one", F.lit(1)).withColumn(CHUNK, F.shiftright("first_ord", 16))
+    out = row_numbers(first, Ordering(("_one",), ("first_ord",)), "subject_index").drop("_one", CHUNK)
+    return out.withColumn("subject_index", (F.col("subject_index") + 1).cast("int"))
 
 
 def search(
