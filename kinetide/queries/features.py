@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import clean
 from ..operators import features as ft
-from .data import DAY, HOUR, MARKERS, PEN, SAMPLES, WATCH, WIDTH, embeddings, pen, rnd, samples, table, watch
+from .data import HOUR, PEN, SAMPLES, WATCH, WIDTH, embeddings, pen, rnd, samples, watch
 from .evaluate import r6
 from .label import CLOSE
 from .registry import query

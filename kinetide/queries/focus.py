@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ..plans import focus as f
-from .data import HOUR, SAMPLES, WIDTH, chunked, rnd, samples
+from .data import HOUR, SAMPLES, chunked, rnd, samples
 from .registry import query
 
 TODAY, GAP = "2024-01-30", 12 * HOUR

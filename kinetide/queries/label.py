@@ -7,8 +7,8 @@ from ..operators import align
 from ..operators import clean
 from ..operators import label as lab
 from ..operators import strokes as st
-from .data import DAY, HOUR, OOF, PEN, SAMPLES, WATCH, WIDTH, chunked, markers, oof, pen, rnd, samples, watch
-from .quality import BLOCKS, QP, QW, TIMELINE, q_pen, q_watch
+from .data import DAY, HOUR, OOF, PEN, SAMPLES, WATCH, WIDTH, markers, oof, pen, rnd, samples, watch
+from .quality import BLOCKS, QP, TIMELINE, q_pen
 from .registry import query
 
 TOL = 2 * HOUR

@@ -289,8 +289,6 @@ def facts(spark, sf):
 @query("d12_coverage", "WITH" + FACTS + """
   SELECT session_id, CAST(floor(wdur * target_hz) AS DOUBLE) AS expected_samples, round(watch_rows / floor(wdur * target_hz), 6)::DOUBLE AS coverage FROM facts""")
 def _(spark, sf):
-    from ..kernels.stats import quantiles  # noqa: F401
-
     w = q_watch(spark, sf)
     c = q.clock_summary(w).select("session_id", "rows", "source_duration_seconds")
     r = q.rate_from_diffs(w).selectExpr("session_id", f"{q.nearest_rate('fs_hz')} as hz")

@@ -6,7 +6,7 @@ from ..operators import clean
 from ..sources import index, scans, store
 from ..session import fresh_path
 from .data import (
-    DAY, HOUR, MARKERS, OOF, PEN, SAMPLES, WATCH, WIDTH, markers, oof, ordered_samples, pen, rnd, samples, watch,
+    MARKERS, OOF, PEN, SAMPLES, WATCH, WIDTH, markers, oof, pen, rnd, samples, watch,
 )
 from .registry import query
 

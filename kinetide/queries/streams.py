@@ -4,11 +4,10 @@ from pyspark.sql import functions as F
 
 from ..operators import decode as hmm
 from ..operators import evaluate as ev
-from ..operators import features as ft
 from ..streaming import ingest, scoring, state
 from ..streaming.runtime import drain, latest, table_stream
-from .data import HOUR, OOF, SAMPLES, WATCH, WIDTH, millis, rnd
-from .evaluate import COUNTS, EMIT, FWD, observed, r6
+from .data import HOUR, SAMPLES, WIDTH, millis, rnd
+from .evaluate import FWD, r6
 from .focus import GAP
 from .registry import query
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.align import top_per_key
 from ..plans import study as sd
 from ..session import fresh_path
-from .data import OOF, SAMPLES, oof, rnd, samples, table
+from .data import SAMPLES, samples, table
 from .registry import query
 
 
