@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetide.session import shared_dir, staged
+from kinetide.session import fresh_path, shared_dir, staged
 
-__all__ = ["keyed_crc", "pieces", "shared_dir", "staged", "table", "texts"]
+__all__ = ["fresh_path", "keyed_crc", "pieces", "shared_dir", "staged", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
