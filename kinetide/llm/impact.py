@@ -105,8 +105,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     rows = staged(rows, "impact-rows")
     asked = staged(clean(queries).where(F.size("v") == width), "impact-queries")
     shards, blocks = max(1, -(-rows.count() // SHARD)), max(1, -(-asked.count() // QUERIES))
-    entries = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), "id", "v")
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"), "id", "v")
+    entries = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "id", "v")
+    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"), "id", "v")
 
     def answer(entry: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .vectors import of_common_width, stacked, usable
 
-SAMPLE, CENTROIDS, BLOCK, QUERIES = 20_000, 16, 4096, 1024
+SAMPLE, CENTROIDS, BLOCK, QUERIES = 20_000, 64, 4096, 1024
 
 
 def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -68,7 +68,7 @@ def cosines(entries: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, wanted: int = 4000, share: float = 0.25, centroids: int = CENTROIDS, sample: int = SAMPLE,
+    vectors: DataFrame, queries: DataFrame, k: int = 5, wanted: int = 4000, share: float = 0.5, centroids: int = CENTROIDS, sample: int = SAMPLE,
     key: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found by cosine for each row of ``queries``.
@@ -81,10 +81,14 @@ def search(
 
     A row is no candidate for the query of its own id.  Vectors that are null, zero, of another length than
     most, or with null or non-finite components take no part; nor do null ids.  Ties go to the smaller id.
-    Rows with one id are entries of their own.  Cells over BLOCK entries are split by a hash of the id and
-    their queries sent to each part; cells with more than QUERIES visitors are scored once per block of
-    visitors, so no group of rows grows with the table.  Centres and the counts of cells (centroids squared)
-    are all that the driver holds.
+    Rows with one id are entries of their own.
+
+    Entries are grouped by their first centre, and a query goes to each of these groups once, with the
+    second centres it visits there.  A group over BLOCK entries is split by a hash of the id and its queries
+    sent to each part; a group with more than QUERIES visitors is scored once per block of visitors.  So no
+    task's rows grow with the table, whatever vectors are frequent.  Centres and the counts of cells
+    (centroids squared) are all that the driver holds.  The default share is what a recall over 0.9 took on
+    vectors with 64 noisy dimensions.
     """
     spark = vectors.sparkSession
 
@@ -133,30 +137,38 @@ def search(
                 yield pa.RecordBatch.from_pydict({"cells": pa.array(found, pa.list_(pa.int64())), "id": batch.column("id"), "v": pa.array([x.tobytes() for x in matrix], pa.binary())})
 
     visits = staged(asked.mapInArrow(visit, "cells array<long>, id long, v binary"), "multi-index-visits")
-    visitors = np.zeros(cells, dtype=np.int64)
-    for r in visits.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():  # as above
-        visitors[r["cell"]] = r["count"]
-    parts = -(-counts // BLOCK)
+    visited = visits.select(F.explode("cells").alias("cell"), "id").groupBy("id", F.expr(f"cell div {size}").alias("first")).agg(F.lit(1).alias("one"))
+    visitors = np.zeros(len(centres[0]), dtype=np.int64)
+    for r in visited.groupBy("first").count().collect():  # at most one row per first centre
+        visitors[r["first"]] = r["count"]
+    parts = np.maximum(1, -(-counts.reshape(-1, size).sum(axis=1) // BLOCK))
     blocks = np.maximum(1, -(-visitors // QUERIES))
-    split = spark.createDataFrame(pd.DataFrame({"cell": np.arange(cells), "parts": np.maximum(1, parts), "blocks": blocks}))
-    split = F.broadcast(split)  # one row per pair of centres
-    spread = entries.join(split, "cell").select("cell", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
-    sent = visits.select(F.explode("cells").alias("cell"), "id", "v").join(split, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id", F.lit(1)), "blocks").alias("block"), "id", "v")
+    split = F.broadcast(spark.createDataFrame(pd.DataFrame({"first": np.arange(len(parts)), "parts": parts, "blocks": blocks})))  # one row per first centre
+    spread = entries.withColumn("first", F.expr(f"cell div {size}")).join(split, "first").select(
+        "first", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.expr(f"cell % {size}").alias("second"), "id", "v")
+    firsts = F.array_distinct(F.transform("cells", lambda c: F.floor(c / size)))
+    sent = visits.select(F.explode(firsts).alias("first"), "cells", "id", "v").join(split, "first").select(
+        "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id", F.lit(1)), "blocks").alias("block"),
+        F.transform(F.filter("cells", lambda c: F.floor(c / size) == F.col("first")), lambda c: c % size).alias("seconds"), "id", "v")
 
     def rerank(entry: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(entry) and len(query):
-            order = entry["id"].to_numpy().argsort(kind="stable")
-            ids, matrix = entry["id"].to_numpy()[order], stacked(entry["v"].to_numpy()[order], width)
-            for q, v in zip(query["id"], query["v"], strict=True):
-                values = cosines(matrix, np.frombuffer(v, dtype="<f8"))
-                values[ids == q] = -np.inf
-                best = np.argsort(-values, kind="stable")[:k]
-                out += [(q, int(ids[i]), float(values[i])) for i in best if np.isfinite(values[i])]
+            ids, second, matrix = entry["id"].to_numpy(), entry["second"].to_numpy(), stacked(entry["v"], width)
+            asked = stacked(query["v"], width)
+            about = (asked / np.sqrt((asked**2).sum(axis=1, keepdims=True))) @ (matrix / np.sqrt((matrix**2).sum(axis=1, keepdims=True))).T
+            for q, v, seconds, near in zip(query["id"], asked, query["seconds"], about, strict=True):
+                open_ = np.zeros(size, dtype=bool)
+                open_[np.asarray(seconds)] = True
+                met = np.nonzero(open_[second] & (ids != q))[0]
+                if len(met) > k:
+                    met = met[near[met] >= np.partition(near[met], -k)[-k] - 1e-9]
+                values = cosines(matrix[met], v)
+                best = np.lexsort((ids[met], -values))[:k]
+                out += [(int(q), int(ids[met[i]]), float(values[i])) for i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    group = ["cell", "part", "block"]
+    group = ["first", "part", "block"]
     near = spread.groupBy(*group).cogroup(sent.groupBy(*group)).applyInPandas(rerank, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -188,7 +188,7 @@ def _counted(sample: DataFrame, features: Any, key: str = "feature") -> DataFram
 def _terms() -> Any:
     def of(text: str) -> set[str]:
         words = {w for w in _WORD.findall(text.lower()) if 3 <= len(w) <= 40}
-        return words | {w[:k] + "*" for w in words for k in (4, 5) if len(w) > k}
+        return words | {w[:k] + "*" for w in words for k in range(4, 9) if len(w) > k}
 
     return of
 
