@@ -16,8 +16,14 @@ def attach(
     """Join ``dim`` (unique on ``keys``) with each key of ``df`` cut into ``salts`` parts.
 
     The small side is repeated per part; a runtime broadcast stays possible
-    because adaptive execution measures it first.
+    because adaptive execution measures it first.  A NULL key is a key like any other.
     """
     by = F.col(spread) if spread in df.columns else F.hash(*df.columns)
     wide = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", F.pmod(F.hash(by), F.lit(salts))).join(wide, [*keys, "_salt"], how).drop("_salt")
+    wide = wide.withColumnsRenamed({k: f"_dim_{k}" for k in [*keys, "_salt"]})
+    same = F.col("_salt") == F.col("_dim__salt")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_dim_{k}"))
+    joined = df.withColumn("_salt", F.pmod(F.hash(by), F.lit(salts))).join(wide, same, how)
+    rest = [c for c in df.columns if c not in keys]
+    return joined.select(*keys, *rest, *[c for c in dim.columns if c not in keys])

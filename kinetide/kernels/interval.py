@@ -37,25 +37,26 @@ def interval_join(
     end: str = "end_ms",
     width: int,
     how: str = "left",
-    overlapping: bool = False,
 ) -> DataFrame:
-    """Attach the block covering each point; with overlaps the later start wins."""
-    side = _spread(blocks, start, end, width).select(
-        *keys, "_b", F.col(start).alias("_s"), F.col(end).alias("_e"),
-        F.struct(*value_cols).alias("_v"),
-    )
+    """Attach the block covering each point; with overlaps the latest start wins, then the greatest values.
+
+    The blocks of a (key, bucket) travel as one row with an array, so a point meets one row and is never
+    repeated, whatever overlaps and however many equal points there are.  ``width`` bounds the array: it
+    should span few blocks.  A hot (key, bucket) is many points against that one row, a join that adaptive
+    execution splits.
+    """
+    side = _spread(blocks, start, end, width).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_bb")).agg(
+        F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.struct(*value_cols).alias("v"))).alias("_blocks"))
     p = points.withColumn("_b", F.floor(F.col(at) / F.lit(width)))
-    pa, sa = p.alias("p"), side.alias("s")
-    cond = F.col("p._b") == F.col("s._b")
+    cond = F.col("_b") == F.col("_bb")
     for k in keys:
-        cond = cond & (F.col(f"p.{k}") == F.col(f"s.{k}"))
-    joined = pa.join(sa, cond & _within(F.col(f"p.{at}"), False), how)
-    base = [F.col(f"p.{c}").alias(c) for c in points.columns]
-    if not overlapping:
-        return joined.select(*base, *[F.col(f"s._v.{c}").alias(c) for c in value_cols])
-    picked = joined.select(*base, F.col("s._s").alias("_s"), F.col("s._v").alias("_v"))
-    best = picked.groupBy(*points.columns).agg(F.max_by("_v", "_s").alias("_v"))
-    return best.select(*points.columns, *[F.col(f"_v.{c}").alias(c) for c in value_cols])
+        cond = cond & (F.col(k) == F.col(f"_k_{k}"))
+    covering = F.filter("_blocks", lambda b: (F.col(at) >= b["s"]) & (F.col(at) < b["e"]))
+    joined = p.join(side, cond, "left").withColumn("_v", F.array_max(F.transform(covering, lambda b: F.struct(b["s"], b["v"]))))
+    if how == "inner":
+        joined = joined.filter(F.col("_v").isNotNull())
+    base = [F.col(c) for c in points.columns if c not in value_cols]
+    return joined.select(*base, *[F.col(f"_v.v.{c}").alias(c) for c in value_cols])
 
 
 def interval_anti(

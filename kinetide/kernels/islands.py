@@ -48,8 +48,8 @@ def islands(
     )
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        marked.join(summary, seq.group)
-        .withColumn(name, F.col("_offset") + F.sum("_step").over(upto))
+        marked.join(summary, seq.group, "left")  # left: rows with a NULL key stay, each chunk a sequence of its own
+        .withColumn(name, F.coalesce("_offset", F.lit(1)) + F.sum("_step").over(upto))
         .drop("_lag", "_step", "_offset")
     )
 

@@ -136,7 +136,8 @@ def scan(
         carried.append(F.sum(f"_t_{name}").over(Window.partitionBy(*seq.keys)).alias(f"_c_{name}"))
 
     carry = df.groupBy(*seq.group).agg(*aggs).select(*seq.group, *carried)
-    joined = df.join(carry, seq.group)
+    # Left: rows whose key is NULL belong to no sequence; each of their chunks stands alone, none is lost.
+    joined = df.join(carry, seq.group, "left")
 
     w = seq.local
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

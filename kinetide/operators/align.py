@@ -299,18 +299,21 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order, n: int, salt) -> Data
     )
 
 
-def tap_candidates(pen: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Starts of short strokes, else all DOWN dots: the first and last twelve of a session."""
+def tap_candidates(pen: DataFrame, intervals: DataFrame, keep_each: int = TAP_KEEP_EACH) -> DataFrame:
+    """Start times of short strokes, else of all DOWN dots: the first and last ``keep_each`` of a session.
+
+    Taps stand at both ends of a recording by protocol, so those in between are none.
+    """
     short = intervals.filter(
         f"duration_ms <= {TAP_MAX_MS} and dot_count <= {TAP_MAX_DOTS}"
     ).selectExpr("session_id", "source_start_ms as pen_ts")
     downs = pen.filter("dot_type = 'PEN_DOWN' and ts is not null").selectExpr("session_id", "ts as pen_ts")
     rest = downs.join(short.select("session_id").distinct(), "session_id", "left_anti")
-    pool = short.unionByName(rest).withColumn("_id", F.monotonically_increasing_id())
+    pool = short.unionByName(rest).distinct()
     salt = F.pmod(F.hash("pen_ts"), F.lit(64))
-    first = top_per_key(pool, ["session_id"], [F.asc("pen_ts"), F.asc("_id")], TAP_KEEP_EACH, salt)
-    last = top_per_key(pool, ["session_id"], [F.desc("pen_ts"), F.desc("_id")], TAP_KEEP_EACH, salt)
-    return first.unionByName(last).distinct().drop("_id")
+    first = top_per_key(pool, ["session_id"], [F.asc("pen_ts")], keep_each, salt)
+    last = top_per_key(pool, ["session_id"], [F.desc("pen_ts")], keep_each, salt)
+    return first.unionByName(last).distinct()
 
 
 def tap_matches(watch: DataFrame, pen: DataFrame, intervals: DataFrame, **options) -> DataFrame:
@@ -322,10 +325,10 @@ def tap_matches(watch: DataFrame, pen: DataFrame, intervals: DataFrame, **option
         df.selectExpr("session_id", "local_ts - ts as _o"), ["session_id"], "_o", {n: 0.5}
     )
     approx = med(pen, "_p").join(med(watch, "_w"), "session_id").selectExpr("session_id", "_p - _w as approx_ms")
-    cand = tap_candidates(pen, intervals).join(approx, "session_id").withColumn("_c", F.monotonically_increasing_id())
+    cand = tap_candidates(pen, intervals).join(approx, "session_id")
     peaks = motion_peaks(watch, **options).selectExpr("session_id", "ts as peak_ts", "motion_mag")
     hit = cand.join(peaks, "session_id").withColumn("_e", F.col("peak_ts") - (F.col("pen_ts") + F.col("approx_ms")))
-    best = hit.groupBy("session_id", "pen_ts", "approx_ms", "_c").agg(
+    best = hit.groupBy("session_id", "pen_ts", "approx_ms").agg(
         F.min_by(F.struct("peak_ts", "_e", "motion_mag"), F.struct(F.abs("_e"), F.col("peak_ts"))).alias("_m")
     )
     return best.filter(F.abs("_m._e") <= TAP_SEARCH_MS).selectExpr(
@@ -334,8 +337,11 @@ def tap_matches(watch: DataFrame, pen: DataFrame, intervals: DataFrame, **option
     )
 
 
-def tap_estimate(matches: DataFrame) -> DataFrame:
-    """Offsets of the first and second half of the matches, drift and confidence.
+def tap_estimate(matches: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Offsets of the first and second half of the matches, drift, confidence and why there is none.
+
+    With ``sessions`` every one of them has a row.  Below two matches no offset is given and the confidence
+    is 'none'.
 
     At most 24 matches per session, so plain windows and percentiles apply.
     """
@@ -348,9 +354,13 @@ def tap_estimate(matches: DataFrame) -> DataFrame:
         F.count("*").alias("matches"), mid().alias("median_offset_ms"), mid(F.col("_first")).alias("start_offset_ms"),
         mid(~F.col("_first")).alias("end_offset_ms"), F.max(F.abs("error_ms")).alias("max_error_ms"),
     )
+    if sessions is not None:
+        out = sessions.select("session_id").distinct().join(out, "session_id", "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
+    offsets = [f"case when matches >= 2 then {c} end as {c}" for c in ("median_offset_ms", "start_offset_ms", "end_offset_ms")]
     return out.selectExpr(
-        "session_id", "matches", "matches >= 2 as usable", "median_offset_ms", "start_offset_ms", "end_offset_ms",
-        "end_offset_ms - start_offset_ms as drift_ms", "max_error_ms",
-        f"case when matches < 2 or max_error_ms > {LOW_ERROR_MS} then 'low' "
+        "session_id", "matches", "matches >= 2 as usable", *offsets,
+        "case when matches >= 2 then end_offset_ms - start_offset_ms end as drift_ms", "max_error_ms",
+        f"case when matches < 2 then 'none' when max_error_ms > {LOW_ERROR_MS} then 'low' "
         f"when matches >= {HIGH_MATCHES} and max_error_ms <= {HIGH_ERROR_MS} then 'high' else 'medium' end as confidence",
+        "case when matches = 0 then 'no matches' when matches = 1 then 'one match' end as reason",
     )

@@ -351,25 +351,28 @@ def zscore_per_session(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def pooled_stats_by_fold(df: DataFrame, cols: Sequence[str], group: str = "person_id") -> DataFrame:
     """Training mean and deviation of every fold at once: all groups minus the held-out one.
 
-    Moments are summed per group and combined with the parallel-variance rule, so
-    the windows are read once whatever the number of folds.
+    Counts, means and squared deviations are taken per group and then about the mean of all rows, so the
+    difference keeps its digits when means are large against deviations.  The windows are read once
+    whatever the number of folds.
     """
-    aggs = [F.count("*").alias("_n")]
+    aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"_a_{c}"), F.var_pop(c).alias(f"_v_{c}"), F.count(c).alias(f"_c_{c}")]
     own = df.groupBy(group).agg(*aggs)
+    centre = own.agg(*[(F.sum(F.col(f"_c_{c}") * F.col(f"_a_{c}")) / F.sum(f"_c_{c}")).alias(f"_g_{c}") for c in cols])  # one row
+    own = own.crossJoin(F.broadcast(centre))
     sums = []
     for c in cols:
-        n, a, v = (F.col(f"_{x}_{c}") for x in ("c", "a", "v"))
-        sums += [n.alias(f"n_{c}"), (n * a).alias(f"x_{c}"), (n * (v + a * a)).alias(f"q_{c}")]
-    own = own.select(group, *[F.coalesce(e, F.lit(0)).alias(nm) for e, nm in zip(sums, [f"{t}_{c}" for c in cols for t in "nxq"])])
-    names = [c for c in own.columns if c != group]
+        n, a, v, g = (F.col(f"_{x}_{c}") for x in ("c", "a", "v", "g"))
+        sums += [n.alias(f"n_{c}"), (n * (a - g)).alias(f"x_{c}"), (n * (v + (a - g) * (a - g))).alias(f"q_{c}")]
+    own = own.select(group, *[f"_g_{c}" for c in cols], *[F.coalesce(e, F.lit(0)).alias(nm) for e, nm in zip(sums, [f"{t}_{c}" for c in cols for t in "nxq"])])
+    names = [f"{t}_{c}" for c in cols for t in "nxq"]
     total = own.agg(*[F.sum(c).alias(f"t_{c}") for c in names])  # one row
-    rest = own.crossJoin(F.broadcast(total)).select(group, *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in names])
+    rest = own.crossJoin(F.broadcast(total)).select(group, *[f"_g_{c}" for c in cols], *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in names])
     exprs = []
     for c in cols:
         var = f"((q_{c} - x_{c} * x_{c} / n_{c}) / (n_{c} - 1))"
-        exprs += [f"x_{c} / n_{c} as _m_{c}", f"coalesce(nullif(sqrt(greatest({var}, 0.0D)), 0), 1.0D) as _s_{c}"]
+        exprs += [f"_g_{c} + x_{c} / n_{c} as _m_{c}", f"coalesce(nullif(sqrt(greatest({var}, 0.0D)), 0), 1.0D) as _s_{c}"]
     return rest.selectExpr(group, *exprs)
 
 
@@ -420,12 +423,14 @@ def paired_folds(a: DataFrame, b: DataFrame, metric: str, key: str = "held_out")
     return a.select(key, F.col(metric).alias(f"{metric}_a")).join(b.select(key, F.col(metric).alias(f"{metric}_b")), key)
 
 
-def wilcoxon(pairs: DataFrame, a: str, b: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+def wilcoxon(pairs: DataFrame, a: str, b: str, keys: Sequence[str] = (), alpha: float = 0.05, method: str = "auto") -> DataFrame:
     """Signed-rank test of paired values, zeros dropped.
 
-    Exact p for at most 50 pairs without ties or zeros, from the counts of rank
-    subsets by sum; else the normal approximation with tie correction.
+    ``method`` "exact" counts rank subsets by sum (no value with ties or zeros), "approx" is the normal
+    approximation with tie correction, "auto" the exact one for at most 50 pairs without ties or zeros, as
+    is usual for this test.
     """
+    use_exact = {"auto": "_z = 0 and _ties = 0 and _m <= 50", "exact": "_z = 0 and _ties = 0", "approx": "false"}[method]
     held = list(keys) or ["_one"]
     d = (pairs if keys else pairs.withColumn("_one", F.lit(1))).withColumn("_d", F.col(a) - F.col(b))
     med = quantiles(d, held, "_d", {"median_diff": 0.5})
@@ -455,8 +460,8 @@ def wilcoxon(pairs: DataFrame, a: str, b: str, keys: Sequence[str] = (), alpha:
     poly = "-1.26551223 + {t}*(1.00002368 + {t}*(0.37409196 + {t}*(0.09678418 + {t}*(-0.18628806 + {t}*(0.27886807 + {t}*(-1.13520398 + {t}*(1.48851587 + {t}*(-0.82215223 + {t}*0.17087277))))))))".format(t="_t")
     out = base.join(med, held).join(w, held, "left").selectExpr("*", f"{t} as _t", f"{z} as _zz").selectExpr(
         *held, "n", "median_diff", "mean_diff", "statistic",
-        f"case when _m is null then 1.0D when _z = 0 and _ties = 0 and _m <= 50 then {exact} "
-        f"else least(1.0D, _t * exp(-_zz * _zz / 2 + {poly})) end as p_value",
+        f"case when _m is null then 1.0D when {use_exact} then {exact} "
+        f"else {'null' if method == 'exact' else f'least(1.0D, _t * exp(-_zz * _zz / 2 + {poly}))'} end as p_value",
     ).withColumn("significant", F.col("p_value") < alpha)
     return out if keys else out.drop("_one")
 
@@ -506,7 +511,7 @@ def class_kinematics(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return out.withColumn("ratio", F.expr("case when idle_mean <> 0 then writing_mean / idle_mean end"))
 
 
-# First match wins.
+# Name patterns and groups, as they stand in reports; the first match wins.
 GROUP_RULES = (
     ("jerk", "jerk"), ("zcr", "zcr"), ("corr", "correlation"), ("mag", "magnitude"), ("tilt|grav", "gravity"),
     ("dom_freq|spec_|band_", "spectral"),

@@ -37,12 +37,12 @@ def label_samples(
 
 def attach_tasks(
     samples: DataFrame, blocks: DataFrame, *, at: str = "ts", width: int = SENSOR_CHUNK_MS,
-    overlapping: bool = False, how: str = "left",
+    how: str = "left",
 ) -> DataFrame:
     """Task columns of the block ``[start, end)`` a row falls into."""
     cols = [c for c in ("task_index", "task_id", "task_name", "task_category", "block") if c in blocks.columns]
     return interval_join(
-        samples, blocks, ["session_id"], at, cols, width=width, how=how, overlapping=overlapping
+        samples, blocks, ["session_id"], at, cols, width=width, how=how
     )
 
 

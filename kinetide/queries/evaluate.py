@@ -178,7 +178,7 @@ ENG = TIMELINE + OOF.replace(SAMPLES, "") + f""", asg AS (
 
 
 def assigned(spark, sf):
-    return lab.attach_tasks(oof(spark, sf), st.task_timeline(markers(spark, sf)), at="t_center_ms", width=2 * DAY, overlapping=True)
+    return lab.attach_tasks(oof(spark, sf), st.task_timeline(markers(spark, sf)), at="t_center_ms", width=2 * DAY)
 
 
 @query("d27_engagement", "WITH" + ENG + """

@@ -7,6 +7,12 @@ from ..operators import align
 from ..operators import clean
 from ..operators import label as lab
 from ..operators import strokes as st
+from ..plans.merge import merge_sessions
+from ..schema import IMU
+from ..schema import PEN as PEN_LAYOUT
+from ..schema import WATCH as WATCH_LAYOUT
+from ..session import fresh_path
+from ..sources import scans
 from .data import DAY, HOUR, OOF, PEN, SAMPLES, WATCH, WIDTH, markers, oof, pen, rnd, samples, watch
 from .quality import BLOCKS, QP, TIMELINE, q_pen
 from .registry import query
@@ -76,7 +82,7 @@ def _(spark, sf):
   SELECT s._ord, t.task_index::DOUBLE AS task_index, t.task_id, t.task_category FROM samples s LEFT JOIN timeline t ON t.session_id = s.session_id AND s.ts >= t.start_ms AND s.ts < t.end_ms
   QUALIFY row_number() OVER (PARTITION BY s._ord ORDER BY t.start_ms DESC NULLS LAST) = 1""")
 def _(spark, sf):
-    out = lab.attach_tasks(samples(spark, sf).select("session_id", "_ord", "ts"), st.task_timeline(markers(spark, sf)), width=2 * DAY, overlapping=True)
+    out = lab.attach_tasks(samples(spark, sf).select("session_id", "_ord", "ts"), st.task_timeline(markers(spark, sf)), width=2 * DAY)
     return out.selectExpr("_ord", "cast(task_index as double) as task_index", "task_id", "task_category")
 
 
@@ -237,6 +243,28 @@ def _(spark, sf):
     )
 
 
+@query("a2_merge_from_csv", "WITH" + ALIGN + """, mw AS (
+  SELECT person_id AS session_id, _ord, ts // 60000 AS ts, ax, ay, az, rx, ry, rz FROM watch
+  QUALIFY row_number() OVER (PARTITION BY person_id, ts // 60000, ax, ay, az, rx, ry, rz ORDER BY _ord) = 1), off AS (
+  SELECT session_id, CASE WHEN (mn - mean) / sd <= -2 THEN delta_sec ELSE 0 END AS d FROM est), pw AS (
+  SELECT ap.session_id, ap._ord, ap.ts + coalesce(d, 0) * 1000.0::DOUBLE AS t, ap.dot_type IN ('PEN_DOWN', 'PEN_MOVE') AS writing FROM ap LEFT JOIN off USING (session_id)), near AS (
+  SELECT m.*, CASE WHEN abs(t - ts) <= 40 AND writing THEN 1 ELSE 0 END AS label_writing FROM mw m LEFT JOIN pw p ON p.session_id = m.session_id
+  QUALIFY row_number() OVER (PARTITION BY m._ord ORDER BY abs(t - ts), t, CASE WHEN t <= ts THEN -p._ord ELSE p._ord END) = 1)
+  SELECT CAST(n.session_id AS VARCHAR) AS session_id, ts, round(ax, 6) AS ax, round(rz, 6) AS rz, label_writing, round(coalesce(d, 0), 2)::DOUBLE AS pen_offset_s FROM near n LEFT JOIN off USING (session_id)""")
+def _(spark, sf):
+    """Raw files of both streams, one per session, merged and labelled from end to end."""
+    root = fresh_path(spark, "merge")
+    file = F.concat(F.lit("S"), F.col("session_id").cast("string"))
+    w = watch(spark, sf).selectExpr("person_id as session_id", "_ord", "ts div 60000 as ts", "local_ts div 60000 as local_ts_ms", *IMU)
+    p = a_pen(spark, sf).selectExpr("session_id", "_ord", "ts as local_ts_ms", "ts - 7 as timestamp", "dot_type", "x", "y")
+    for df, layout, d in ((w, WATCH_LAYOUT, "watch"), (p, PEN_LAYOUT, "pen")):
+        cols = [F.col(f.name).cast("string") if f.name in df.columns else F.lit("").alias(f.name) for f in layout]
+        df.withColumn("file", file).repartition("file").sortWithinPartitions("file", "_ord").select("file", *cols).write.partitionBy("file").option("header", True).csv(f"{root}/{d}")
+    named = lambda d, layout: scans.read_stream_csv(spark, f"{root}/{d}/*/*.csv", layout).withColumn("session_id", F.regexp_extract("_file", r"file=S(\d+)/", 1))
+    out = merge_sessions(scans.coerce_watch(named("watch", WATCH_LAYOUT)), scans.coerce_pen(named("pen", PEN_LAYOUT)), width=5000)
+    return out.select("session_id", "ts", rnd(F.col("ax")).alias("ax"), rnd(F.col("rz")).alias("rz"), "label_writing", rnd(F.col("pen_offset_s"), 2).alias("pen_offset_s"))
+
+
 @query("e30_rolling_variance", "WITH" + ALIGN + " SELECT session_id, rn, round(v, 6) AS v, round(sd, 6) AS motion_sd FROM av")
 def _(spark, sf):
     v = align.motion_variance(a_watch(spark, sf), **A_OPTS)
@@ -293,4 +321,4 @@ def _(spark, sf):
 @query("c10_tap_matching")
 def _(spark, sf):
     w, p = a_watch(spark, sf), a_pen(spark, sf)
-    return align.tap_estimate(align.tap_matches(w, p, st.pen_intervals(p), width=5000))
+    return align.tap_estimate(align.tap_matches(w, p, st.pen_intervals(p), width=5000), w)

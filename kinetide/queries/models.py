@@ -83,14 +83,14 @@ def _(spark, sf):
     w = staged(windows(spark, sf), "windows")
     m = panel.fit(w, FEATS, "rf_small")
     imp = panel.importances(spark, m, FEATS)
-    perm = panel.permutation_importance(m, w.drop("_chunk").transform(ev.in_time, WIDTH), ["ax", "rx"], ["t_center_ms", "_ord"])
+    perm = panel.permutation_importance(m, w.drop("_chunk").transform(ev.in_time, WIDTH), FEATS, ["t_center_ms", "_ord"])
     return imp.join(perm, "feature", "left")
 
 
 @query("g14_principal_components")
 def _(spark, sf):
-    e = embeddings(spark, sf).select("vec_id", *[F.col("x")[i].alias(f"x{i}") for i in range(16)])
-    p = panel.principal_components(e, [f"x{i}" for i in range(16)])
+    e = embeddings(spark, sf).select("vec_id", *[F.col("x")[i].alias(f"x{i}") for i in range(64)])
+    p = panel.principal_components(e, [f"x{i}" for i in range(64)])
     return p.select("vec_id", rnd(F.abs("pc1"), 4).alias("pc1"), rnd(F.abs("pc2"), 4).alias("pc2"))
 
 

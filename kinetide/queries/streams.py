@@ -5,17 +5,18 @@ from pyspark.sql import functions as F
 from ..operators import decode as hmm
 from ..operators import evaluate as ev
 from ..streaming import ingest, scoring, state
-from ..streaming.runtime import drain, latest, table_stream
+from ..streaming.runtime import drain, latest, replay
 from .data import HOUR, SAMPLES, WIDTH, millis, rnd
 from .evaluate import FWD, r6
 from .focus import GAP
 from .registry import query
 
 
-def stream(spark, sf, name="events"):
+def stream(spark, sf, name="events", key="event_id"):
+    """The whole table in its order, over at least four micro-batches."""
     from ..session import configure
 
-    return table_stream(configure(spark), f"{sf}/{name}.parquet")
+    return replay(configure(spark).read.parquet(f"{sf}/{name}.parquet"), name, key)
 
 
 def sample_stream(spark, sf):
@@ -85,7 +86,7 @@ def _(spark, sf):
 @query("i6_chart_windows", "WITH" + SAMPLES + f""" SELECT session_id, ts // {6 * HOUR} * {6 * HOUR} AS t, round(avg(v), 6) AS acc, round(avg(k), 6) AS gyro, max(label) AS writing FROM samples GROUP BY 1, 2""")
 def _(spark, sf):
     s = sample_stream(spark, sf).selectExpr("session_id", "ts", "v as acc_mag", "k as gyro_mag", "label as writing")
-    out = latest(drain(ingest.chart_points(s, "6 hours", "60 days"), "chart", mode="update"), ["session_id", "t"])
+    out = latest(drain(ingest.chart_points(s, "6 hours", lateness="60 days"), "chart", mode="update"), ["session_id", "t"])
     return r6(out.select("session_id", "t", "acc", "gyro", "writing"), "acc", "gyro")
 
 
@@ -183,12 +184,12 @@ def _(spark, sf):
     # Session windows close only once the watermark passes, so the end of a finite
     # table stays open on a stream; the same plan over the whole table closes all.
     configure(spark)
-    return ingest.session_stretches(samples(spark, sf).selectExpr("session_id", "ts", "label as writing"), GAP)
+    return ingest.session_stretches(samples(spark, sf).selectExpr("session_id", "ts", "label as writing"), GAP, lateness="60 days")
 
 
 @query("i14_training_progress", """SELECT 'R' || (o_custkey % 40) AS run_id, max(o_custkey % 15) AS folds, count(*) FILTER (o_orderstatus = 'F') AS done, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 4) AS mean_acc, round(sum(o_totalprice / 1000) FILTER (o_orderstatus = 'F'), 3) AS sec FROM orders GROUP BY 1""")
 def _(spark, sf):
-    o = stream(spark, sf, "orders").selectExpr(
+    o = stream(spark, sf, "orders", "o_orderkey").selectExpr(
         "to_json(struct(concat('R', cast(o_custkey % 40 as string)) as run_id, if(o_orderstatus = 'F', 'fold_done', 'fold_start') as event, "
         "o_custkey % 15 as folds, o_totalprice as accuracy, o_totalprice / 1000 as sec)) as value"
     )
@@ -199,7 +200,7 @@ def _(spark, sf):
 @query("i15_stream_rates", "WITH" + SAMPLES + f" SELECT event_type AS stream, ts // {HOUR} * {HOUR} AS t, count(*) AS n FROM samples GROUP BY 1, 2")
 def _(spark, sf):
     s = sample_stream(spark, sf).selectExpr("event_type as stream", "ts")
-    return latest(drain(ingest.stream_rates(s, "1 hour", "60 days"), "rates", mode="update"), ["stream", "t"]).select("stream", "t", "n")
+    return latest(drain(ingest.stream_rates(s, "1 hour", lateness="60 days"), "rates", mode="update"), ["stream", "t"]).select("stream", "t", "n")
 
 
 @query("i16_change_only_stream", "WITH" + SAMPLES + """ SELECT session_id, _ord, event_type AS value FROM (SELECT *, lag(event_type) OVER (PARTITION BY session_id ORDER BY _ord) AS prev FROM samples) WHERE prev IS NULL OR prev <> event_type""")

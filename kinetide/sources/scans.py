@@ -35,12 +35,19 @@ def newest_session(pairs: DataFrame) -> DataFrame:
 
 
 def read_stream_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A raw stream as text columns of the declared layout; coercion comes after."""
+    """A raw stream as text columns of the declared layout, with its file and the arrival ordinal ``_ord``.
+
+    Coercion comes after.  ``_ord`` follows the order of lines inside a file: pieces of a large file are read
+    by several tasks, so the piece's offset goes before the place in the task.  Ordinals of different files
+    don't compare; a session's stream is one file.
+    """
     text = StructType()
     for f in schema:
         text = text.add(f.name, "string")
-    return spark.read.schema(text).option("header", True).csv(path).withColumn(
-        "_file", F.col("_metadata.file_path")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    piece = F.shiftleft(F.floor(F.col("_metadata.file_block_start") / 65536), 33)
+    return spark.read.schema(text).option("header", True).csv(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), (piece + place).alias("_ord")
     )
 
 

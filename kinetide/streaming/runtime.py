@@ -23,6 +23,24 @@ def table_stream(spark: SparkSession, path: str, schema=None, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def replay(df: DataFrame, name: str, key: str, batches: int = 4, rows_per_batch: int = 1_000_000) -> DataFrame:
+    """A finite table as a stream of several micro-batches in the order of ``key``.
+
+    The table is written to range-partitioned files, at least ``batches`` of them and none much over
+    ``rows_per_batch`` rows, whose modification times follow the key; the file source takes one at a time.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, f"{name}-replay")
+    files = max(batches, -(-df.count() // rows_per_batch))
+    df.repartitionByRange(files, key).sortWithinPartitions(key).write.parquet(path)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((str(f.getPath()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")))
+    for i, part in enumerate(parts):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(part), 1_000_000_000_000 + 1000 * i, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def drain(
     stream: DataFrame, name: str, *, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:

@@ -96,7 +96,7 @@ def test_interval_join_half_open_and_overlap(spark):
     )
     got = {
         r.t: r.task
-        for r in interval_join(pts, blocks, ["k"], "t", ["task"], width=7, overlapping=True).collect()
+        for r in interval_join(pts, blocks, ["k"], "t", ["task"], width=7).collect()
     }
     assert got == {0: None, 5: "a", 10: "a", 15: "b", 20: "b", 25: "b", 30: None, 35: None, 40: None, 45: None}
     left = {r.t for r in interval_anti(pts, blocks, ["k"], "t", width=7).collect()}
