@@ -20,14 +20,20 @@ def site_lines(docs: DataFrame, site: str = "source") -> DataFrame:
     return lines.where(F.trim("line") != "").select(line_key(F.col("line")).alias("line"), "site")
 
 
+def spread(docs: DataFrame, site: str) -> DataFrame:
+    """(line, site, n): how often each line stands on each site."""
+    return site_lines(docs, site).groupBy("line", "site").agg(F.count("*").alias("n"))
+
+
 def sketches(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """(line, sketch): a HyperLogLog sketch of the sites of each line that stands often enough.
 
-    A line on s sites stands at least s times, so a plain count first drops the many rare lines.  Both
-    aggregates combine before their shuffle: a line of a third of all rows is one row per task.
+    A line on s sites stands at least s times, so a plain count first drops the many rare lines.  All
+    aggregates combine before their shuffle, and lines are joined as one row per site, so a line of a third
+    of all rows is a row per task or site.
     """
-    lines = site_lines(docs, site)
-    often = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("z"))
+    lines = spread(docs, site)
+    often = lines.groupBy("line").agg(F.sum("n").alias("n"), F.min("site").alias("a"), F.max("site").alias("z"))
     often = often.where((F.col("n") >= min_sites) & ((F.col("a") < F.col("z")) | F.lit(min_sites <= 1))).select("line")
     return lines.join(often, "line", "left_semi").groupBy("line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
 
@@ -49,7 +55,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     estimated = staged(sketches(docs, site, min_sites, lg_k).select("line", F.hll_sketch_estimate("sketch").alias("sites")), "line-sites")
     band = max(1.0, 4 * 1.04 / 2 ** (lg_k / 2) * min_sites)
     near = estimated.where(F.abs(F.col("sites") - min_sites) <= band).select("line")
-    exact = site_lines(docs, site).join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.sum("one").alias("sites"))
+    exact = spread(docs, site).join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites"))
     return estimated.where(F.col("sites") > min_sites + band).select("line").unionByName(exact.where(F.col("sites") >= min_sites).select("line"))
 
 
