@@ -17,7 +17,7 @@ from .common import pieces, staged, texts
 from .graph import components
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
-BITS, TILE, HUB = 1024, 256, 512
+BITS, TILE, HUB = 1024, 256, 128
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
