@@ -116,7 +116,7 @@ def _firsts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tupl
             found = shingles(text, words)
             raw = found.tobytes()
             key = (_signed(xxhash.xxh3_64_intdigest(raw)), _signed(xxhash.xxh3_64_intdigest(raw, 1)))
-            out.append((doc, found, (seen.setdefault(key, doc) if len(found) else doc), key))
+            out.append((doc, found, (seen.setdefault(key, doc) if len(found) and doc is not None else doc), key))
         yield out
 
 

@@ -268,6 +268,12 @@ def test_components_equal_brute_force(spark, make, words, monkeypatch, tile):
     assert sorted(map(str, kept)) == sorted([str(d) for d in {r[2] for r in brute_components(rows) if r[0] is not None}] + ["None", "None"])
 
 
+def test_a_null_id_stands_for_no_copy(spark, make, words):
+    text = " ".join(words(30, 1))
+    got = {(r.doc_id, r.component_id) for r in jaccard.join(make([(None, text), (8, text), (5, text), (9, text + " tail")], 1)).collect()}
+    assert got == {(None, None), (8, 5), (5, 5), (9, 5)}
+
+
 def test_signatures_meet_for_every_linked_pair():
     rng = np.random.default_rng(5)
     for n in [1, 2, 5, 6, 7, 12, 13, 30, 100, 500, 3000]:
