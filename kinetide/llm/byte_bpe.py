@@ -6,12 +6,13 @@ import json
 import re
 from array import array
 
+from .common import held
+
 #: A blank that another character than white space follows always starts a pre-token of its own.
 _CUT = re.compile(r"(?= \S)")
 _ODD = re.compile(r" (?:\s|$)")
 #: The split pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_loaded: dict[str, "ByteBpe"] = {}
 
 
 def _byte_letters() -> dict[str, int]:
@@ -30,7 +31,7 @@ class ByteBpe:
     kept; the cache is emptied when it holds ``cache`` words.
     """
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 150_000):
         self.limit, self.known = cache, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -55,9 +56,7 @@ class ByteBpe:
     @classmethod
     def load(cls, path: str) -> ByteBpe:
         """One per worker and file, so that words are shared by its tasks."""
-        if path not in _loaded:
-            _loaded[path] = cls(path)
-        return _loaded[path]
+        return held(("byte BPE", path), lambda: cls(path))
 
     def encode(self, text: str) -> bytes:
         if not text:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,18 @@ from pyspark.sql import functions as F
 
 from kinetide.session import fresh_path, shared_dir, staged
 
-__all__ = ["fresh_path", "keyed_crc", "pieces", "shared_dir", "staged", "table", "texts"]
+__all__ = ["fresh_path", "held", "keyed_crc", "pieces", "shared_dir", "staged", "table", "texts"]
+
+
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between tasks: one tokenizer or model at a time, as workers serve all stages of a job."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,11 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import held, pieces, texts
 
 MARK = "▁"
 _CUT = re.compile(f"(?<=[^{MARK}])(?={MARK})")
-_loaded: dict[str, "Pieces"] = {}
 #: The state before a word's first letter; above all ids of pieces and letters.
 _NONE = 1 << 21
 
@@ -61,9 +60,7 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str) -> Pieces:
-        if path not in _loaded:
-            _loaded[path] = cls(path)
-        return _loaded[path]
+        return held(("pieces", path), lambda: cls(path))
 
     def merged(self, text: str, until: int = 1) -> list[str]:
         """``text`` merged from single letters to ``until`` parts at least: the best-scored pair first, the leftmost of equal ones."""
