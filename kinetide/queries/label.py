@@ -298,9 +298,23 @@ def _(spark, sf):
     return out.select("session_id", rnd(F.col("delta_sec"), 4).alias("delta_sec"), rnd(F.col("value")).alias("value"))
 
 
-@query("d45_half_drift")
+def halved(sql: str) -> str:
+    """The alignment tables per half of a session: id * 10 + half."""
+    middle = "mid AS (SELECT person_id AS pid, (min(local_ts // 60000) + max(local_ts // 60000)) / 2.0 AS mid FROM watch GROUP BY 1), aw AS ("
+    for table, at in (("watch", "local_ts // 60000"), ("pen", "ts // 60000 + 40")):
+        own = f"person_id * 10 + CASE WHEN {at} < mid THEN 1 ELSE 2 END AS session_id"
+        head, name, tail = sql.rpartition("SELECT person_id AS session_id, _ord, ts // 60000 AS ts, local_ts") if table == "watch" else sql.rpartition("SELECT person_id AS session_id, _ord, dot_type")
+        sql = head + name.replace("person_id AS session_id", own) + tail.replace(f"FROM {table}", f"FROM {table} JOIN mid ON pid = person_id", 1)
+    return sql.replace("aw AS (", middle, 1).replace("FROM ar GROUP BY 1), av", "FROM ar GROUP BY 1 HAVING count(*) >= 50), av", 1)
+
+
+@query("d45_half_drift", "WITH" + halved(ALIGN) + """, n AS (SELECT session_id, count(*) AS strokes FROM sp GROUP BY 1)
+  SELECT session_id // 10 AS session_id, round(max(delta_sec) FILTER (session_id % 10 = 1), 4) AS delta_1, round(max(delta_sec) FILTER (session_id % 10 = 2), 4) AS delta_2,
+         CASE WHEN count(*) = 2 THEN min(strokes) ELSE 0 END AS min_strokes,
+         round(abs(max(delta_sec) FILTER (session_id % 10 = 2) - max(delta_sec) FILTER (session_id % 10 = 1)) * 1000, 2) AS drift_ms FROM est JOIN n USING (session_id) GROUP BY 1""")
 def _(spark, sf):
-    return align.half_drift(a_watch(spark, sf), a_pen(spark, sf), **A_OPTS)
+    out = align.half_drift(a_watch(spark, sf), a_pen(spark, sf), **A_OPTS)
+    return out.select("session_id", *[rnd(F.col(c), d).alias(c) for c, d in (("delta_1", 4), ("delta_2", 4), ("drift_ms", 2))], "min_strokes")
 
 
 PEAKS = ALIGN + """, lim AS (

@@ -121,8 +121,15 @@ def live(spark, sf):
     )
 
 
-@query("i9_live_windows")
-def _(spark, sf):
+@query("i9_live_windows", "WITH" + SAMPLES + """, l AS (
+  SELECT session_id, ts // 1200000 AS ts, row_number() OVER (PARTITION BY session_id ORDER BY ts // 1200000, _ord) AS r FROM samples), k AS (
+  SELECT session_id, unnest(generate_series(min(ts) + 200, max(ts) - 1, 200)) AS tick FROM l GROUP BY session_id), c AS (
+  SELECT k.session_id, tick, count(*) AS n, max(l.ts) AS last FROM k JOIN l ON l.session_id = k.session_id AND l.ts <= tick GROUP BY 1, 2), f AS (
+  SELECT c.*, l.ts AS first, least(n, 125) AS held FROM c JOIN l ON l.session_id = c.session_id AND l.r = greatest(1, n - 124) WHERE tick - last <= 500)
+  SELECT CASE WHEN n < 25 THEN 'too_few' WHEN tick - last > 300 THEN 'stale' WHEN last = first THEN 'rate_mismatch'
+    WHEN abs((held - 1) * 1000.0::DOUBLE / (last - first) - 25) / 25 > 0.2 THEN 'rate_mismatch' ELSE '' END AS guard, count(*) AS ticks FROM f GROUP BY 1""")
+def _(spark, sf):
+    """Ticks by guard: full windows of 25 rows, a silence gives one stale tick, the rate is that of 125 rows."""
     rows = drain(scoring.live_windows(live(spark, sf), fs_hz=25.0, tick_ms=200, stale_ms=300), "live")
     guards = rows.filter("rn <= 0").groupBy("guard").agg(F.count("*").alias("ticks"))
     return guards
