@@ -83,4 +83,5 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(chat.SQL)
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat.derived(table(spark, sf_dir, "conversations"))
-    return chat.link(calls, results, spark.createDataFrame(chat.SCHEMAS, "name string, param string, type string, required boolean"))
+    schemas = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("param"), F.lit(t).alias("type"), F.lit(r).alias("required")) for n, p, t, r in chat.SCHEMAS])
+    return chat.link(calls, results, spark.range(1).select(F.inline(schemas)))
