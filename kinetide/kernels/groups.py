@@ -24,8 +24,8 @@ def map_groups(
     Columns come as lists of plain values, or as numpy slices with ``arrays``.
     """
     keys, order = list(keys), list(order)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_df = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+    # Without a number, so that adaptive execution sizes the partitions; a group stays whole.
+    sorted_df = df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []

@@ -518,16 +518,23 @@ GROUP_RULES = (
 )
 
 
-def feature_group(name: Column) -> Column:
+#: The groups of the engineering report, which looks for correlations first and has no gravity.
+ENGINEERING_RULES = (
+    ("^corr_", "correlation"), ("_jerk_", "jerk"), ("_zcr$", "zcr"),
+    ("(_dom_freq|_spec_centroid|_spec_entropy|_band_3_8)$", "spectral"), ("^(acc|gyro)_mag_", "magnitude"),
+)
+
+
+def feature_group(name: Column, rules: Sequence[tuple[str, str]] = GROUP_RULES) -> Column:
     out = F.when(F.lit(False), "")
-    for pattern, group in GROUP_RULES:
+    for pattern, group in rules:
         out = out.when(name.rlike(pattern), group)
     return out.otherwise("time_stats")
 
 
-def importance_by_group(importances: DataFrame) -> DataFrame:
-    """importances(feature, importance) summed per feature group."""
-    return importances.groupBy(feature_group(F.col("feature")).alias("group")).agg(
+def importance_by_group(importances: DataFrame, rules: Sequence[tuple[str, str]] = GROUP_RULES) -> DataFrame:
+    """importances(feature, importance) summed per feature group of either mapping."""
+    return importances.groupBy(feature_group(F.col("feature"), rules).alias("group")).agg(
         F.sum("importance").alias("total"), F.count("*").alias("features"), F.avg("importance").alias("mean")
     ).orderBy(F.desc("total"), "group")
 

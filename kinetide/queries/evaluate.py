@@ -426,10 +426,10 @@ def _(spark, sf):
     return r6(out, "r_sigma", "r_drift")
 
 
-@query("d47_class_kinematics", "WITH" + WATCH + ", l AS (" + " UNION ALL ".join(f"SELECT label, '{c}' AS feature, {c} AS value FROM watch" for c in ("ax", "ry", "rz")) + """)
+@query("d47_class_kinematics", "WITH" + WATCH + ", l AS (" + " UNION ALL ".join(f"SELECT label, '{c}' AS feature, {c} AS value FROM watch" for c in ("ax", "ay", "az", "rx", "ry", "rz")) + """)
   SELECT feature, round(avg(value) FILTER (label = 1), 6) AS writing_mean, round(avg(value) FILTER (label = 0), 6) AS idle_mean, round(avg(value) FILTER (label = 1) / avg(value) FILTER (label = 0), 6) AS ratio FROM l GROUP BY 1""")
 def _(spark, sf):
-    return r6(ev.class_kinematics(watch(spark, sf), ["ax", "ry", "rz"]), "writing_mean", "idle_mean", "ratio")
+    return r6(ev.class_kinematics(watch(spark, sf), ["ax", "ay", "az", "rx", "ry", "rz"]), "writing_mean", "idle_mean", "ratio")
 
 
 FG = "CASE WHEN {c} LIKE '%jerk%' THEN 'jerk' WHEN {c} LIKE '%zcr%' THEN 'zcr' WHEN {c} LIKE '%corr%' THEN 'correlation' WHEN {c} LIKE '%mag%' THEN 'magnitude' WHEN {c} LIKE '%tilt%' OR {c} LIKE '%grav%' THEN 'gravity' WHEN {c} LIKE '%dom_freq%' OR {c} LIKE '%spec_%' OR {c} LIKE '%band_%' THEN 'spectral' ELSE 'time_stats' END"
@@ -442,6 +442,16 @@ def _(spark, sf):
     return r6(r6(ev.importance_by_group(x), "total", d=4), "mean")
 
 
+EG = "CASE WHEN {c} LIKE 'corr@_%' ESCAPE '@' THEN 'correlation' WHEN {c} LIKE '%@_jerk@_%' ESCAPE '@' THEN 'jerk' WHEN {c} LIKE '%@_zcr' ESCAPE '@' THEN 'zcr' WHEN regexp_matches({c}, '(_dom_freq|_spec_centroid|_spec_entropy|_band_3_8)$') THEN 'spectral' WHEN {c} LIKE 'acc@_mag@_%' ESCAPE '@' OR {c} LIKE 'gyro@_mag@_%' ESCAPE '@' THEN 'magnitude' ELSE 'time_stats' END"
+NAMES = "'ax_jerk_std','ry_zcr','corr_ax_ay','acc_mag_std','tilt_x_mean','rz_spec_entropy','ax_mean','acc_mag_jerk_max','gyro_mag_dom_freq'"
+
+
+@query("d50_engineering_groups", f"WITH x AS (SELECT [{NAMES}][CAST(p_partkey % 9 AS INT) + 1] AS feature, p_retailprice AS importance FROM part) SELECT " + EG.format(c="feature") + ' AS "group", round(sum(importance), 4) AS total, count(*) AS features, round(avg(importance), 6) AS mean FROM x GROUP BY 1')
+def _(spark, sf):
+    x = table(spark, sf, "part").selectExpr(f"array({NAMES})[cast(p_partkey % 9 as int)] as feature", "p_retailprice as importance")
+    return r6(r6(ev.importance_by_group(x, ev.ENGINEERING_RULES), "total", d=4), "mean")
+
+
 @query("d51_weakest", "WITH " + RUNS + " SELECT held_out, round(avg(accuracy), 6) AS accuracy FROM runs GROUP BY 1 ORDER BY avg(accuracy), held_out LIMIT 4")
 def _(spark, sf):
     return r6(ev.weakest(runs(spark, sf), ["held_out"], 4), "accuracy")
