@@ -17,7 +17,7 @@ from .common import pieces, staged, texts
 from .graph import components
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
-BITS, TILE, HUB = 1024, 256, 128
+BITS, TILE, HUB, HUBS = 1024, 256, 128, 8
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,9 +185,12 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     2. Tiles: sets that link agree in one of k hash ranges of their size band (see ``ranges``), so every
        link lies inside a (band, range, content) tile.  A tile's members are paired with its least one;
        pairs that pass sizes and bitmaps are verified on whole texts, and give first components.
-    3. In tiles that still hold several components, all pairs between components are tested by bitmaps,
-       in tiles of at most TILE by TILE members, and survivors are verified.  Pairs inside a component
-       need no test, as they can't change it; so a group of copies costs one comparison a member.
+    3. While tiles still hold many pairs of members from different components, each such tile pairs its
+       members with another of them, chosen by a hash, up to HUBS times: a large group of near copies grows
+       together by comparisons in proportion to its members.
+    4. In tiles that then hold several components, all pairs between components are tested by bitmaps, in
+       tiles of at most TILE by TILE members, and survivors are verified, so no link is lost.  Pairs inside
+       a component need no test, as they can't change it.
 
     Texts without words have no shingles and no links.  A null text is empty.  Rows of one doc_id count as
     one document with the links of all; rows with a null doc_id link with nothing and have a null
@@ -210,18 +213,30 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     stars = shared.where("doc > u").select("u", F.col("doc").alias("v")).distinct()
     copies = equal.select("u", F.col("v")).unionByName(equal.select(F.col("v").alias("u"), F.col("u").alias("v")))
     stars = stars.join(copies, ["u", "v"], "left_anti")
-    tested = staged(
-        stars.join(facts("a"), F.col("u") == F.col("a_id")).join(facts("b"), F.col("v") == F.col("b_id")).where(may_link("a", "b", num, den)).select("u", "v").distinct(), "jaccard-stars")
-    links = staged(equal.unionByName(verified(known, tested, words, num, den)), "jaccard-links")
-    first = components(links)
 
-    def in_component(ids: DataFrame, column: str) -> DataFrame:
-        return ids.join(staged_first.withColumnRenamed("node", column), column, "left").withColumn("component", F.coalesce("component", column))
+    def may(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(facts("a"), F.col("u") == F.col("a_id")).join(facts("b"), F.col("v") == F.col("b_id"))
+        return near.where(may_link("a", "b", num, den)).select("u", "v").distinct()
 
-    staged_first = staged(first, "jaccard-components")
-    members = in_component(shared.select("sig", "doc"), "doc")
-    open_tiles = members.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("sig")
-    rest = staged(members.join(open_tiles, "sig", "left_semi").join(nodes.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc"), "jaccard-open")
+    tested = staged(may(stars), "jaccard-tested")
+    links = staged(equal.unionByName(verified(known, tested, words, num, den)), "jaccard-links")
+    for turn in range(HUBS + 1):
+        found = staged(components(links), "jaccard-components")
+        members = shared.select("sig", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        several = members.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("sig")
+        members = staged(members.join(several, "sig", "left_semi"), "jaccard-open")
+        sizes = members.groupBy("sig", "component").agg(F.count("*").cast("double").alias("c")).groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        left = sizes.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
+        if turn == HUBS or not left["rows"] or left["pairs"] <= 2 * left["rows"]:
+            break
+        order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("doc"), F.col("component").alias("component"))
+        hubs = members.groupBy("sig").agg(F.min(order).alias("hub"))
+        pairs = members.join(hubs, "sig").where(F.col("component") != F.col("hub.component")).select(
+            F.least("doc", "hub.doc").alias("u"), F.greatest("doc", "hub.doc").alias("v")).distinct()
+        fresh = staged(may(pairs.join(tested, ["u", "v"], "left_anti")), "jaccard-tested")
+        links = staged(links.unionByName(verified(known, fresh, words, num, den)), "jaccard-links")
+        tested = staged(tested.unionByName(fresh), "jaccard-tested")
+    rest = staged(members.join(nodes.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc"), "jaccard-open")
     place = F.row_number().over(tile.orderBy("component", "doc"))
     count = F.count("*").over(tile)
     cut = rest.withColumn("block", F.floor((place - 1) / TILE)).withColumn("last", F.floor((count - 1) / TILE))
