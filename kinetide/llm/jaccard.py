@@ -17,7 +17,7 @@ from .common import pieces, staged, texts
 from .graph import components
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
-BITS, TILE, HUB, HUBS, LEADS = 1024, 256, 128, 8, 8
+BITS, TILE, HUB, LEADS = 1024, 256, 128, 8
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,10 +185,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     2. Tiles: sets that link agree in one of k hash ranges of their size band (see ``ranges``), so every
        link lies inside a (band, range, content) tile.  A tile's members are paired with its least one;
        pairs that pass sizes and bitmaps are verified on whole texts, and give first components.
-    3. While tiles still hold many pairs of members from different components, each such tile pairs its
-       members with another of them, chosen by a hash, up to HUBS times while that halves those pairs: a large
-       group of near copies grows together by comparisons in proportion to its members.
-    4. In tiles that then hold several components, all pairs between components are tested by bitmaps, in
+    3. In tiles that still hold several components, all pairs between components are tested by bitmaps, in
        tiles of at most TILE by TILE members, and survivors are verified, so no link is lost.  Pairs inside
        a component need no test, as they can't change it.
 
@@ -220,24 +217,10 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
 
     tested = staged(may(stars), "jaccard-tested")
     links = staged(equal.unionByName(verified(known, tested, words, num, den)), "jaccard-links")
-    before = math.inf
-    for turn in range(HUBS + 1):
-        found = staged(components(links), "jaccard-components")
-        members = shared.select("sig", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        several = members.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("sig")
-        members = staged(members.join(several, "sig", "left_semi"), "jaccard-open")
-        sizes = members.groupBy("sig", "component").agg(F.count("*").cast("double").alias("c")).groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        left = sizes.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-        if turn == HUBS or not left["rows"] or left["pairs"] <= 2 * left["rows"] or left["pairs"] > before / 2:
-            break
-        before = left["pairs"]
-        order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("doc"), F.col("component").alias("component"))
-        hubs = members.groupBy("sig").agg(F.min(order).alias("hub"))
-        pairs = members.join(hubs, "sig").where(F.col("component") != F.col("hub.component")).select(
-            F.least("doc", "hub.doc").alias("u"), F.greatest("doc", "hub.doc").alias("v")).distinct()
-        fresh = staged(may(pairs.join(tested, ["u", "v"], "left_anti")), "jaccard-tested")
-        links = staged(links.unionByName(verified(known, fresh, words, num, den)), "jaccard-links")
-        tested = staged(tested.unionByName(fresh), "jaccard-tested")
+    found = staged(components(links), "jaccard-components")
+    members = shared.select("sig", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    several = members.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("sig")
+    members = staged(members.join(several, "sig", "left_semi"), "jaccard-open")
     # A pair with many common tiles is tested in the first: at any tile, a smaller common one among the
     # LEADS smallest of both tells that it was there already.
     leads = members.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LEADS).alias("lead"))
