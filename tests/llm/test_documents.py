@@ -274,6 +274,18 @@ def test_a_null_id_stands_for_no_copy(spark, make, words):
     assert got == {(None, None), (8, 5), (5, 5), (9, 5)}
 
 
+def test_the_stage_joins_pairs_between_both_measures(spark, make):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(50)]
+    near = base[:25] + ["other"] + base[26:]  # one of 50 words: 43 of 51 runs of 4 words, 41 of 51 runs of 5
+    far = base[:15] + ["other"] + base[16:35] + ["another"] + base[36:]
+    docs = make([(3, " ".join(base)), (7, " ".join(near)), (9, " ".join(far))])
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == {3: 3, 7: 7, 9: 9}
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [3, 9]
+
+
 def test_signatures_meet_for_every_linked_pair():
     rng = np.random.default_rng(5)
     for n in [1, 2, 5, 6, 7, 12, 13, 30, 100, 500, 3000]:
