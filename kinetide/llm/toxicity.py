@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_crc, pieces, texts
+from .common import keyed_crc, pieces, staged, texts
 
 _WORD = re.compile(r"[^\W_]+")
 #: Quotation marks and words that report another's speech.
 QUOTES = "\"“”„«»"
 REPORTS = frozenset("said says wrote writes quoted quote called calls sagte schrieb zitierte disait écrit cité dijo escribió citó".split())
 WINDOW = 80
-FIT_ROWS, LEXICON = 20_000, 512
+FIT_ROWS = 20_000
 
 
 def edits_of(length: int) -> int:
@@ -155,10 +155,14 @@ def is_quoted(text: str, start: int, end: int) -> bool:
 
 
 def _labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """Texts of at most ``rows`` labelled documents outside the held-out third, chosen by a hash of the id."""
+    """(text, toxic): the distinct texts of at most ``rows`` labelled documents outside the held-out third.
+
+    Documents are chosen by a hash of the id.  Copies say the same thing once; their text is toxic if one of
+    them is labelled so, as with repeated labels of one document.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (keyed_crc("doc_id") % 3 != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return texts(docs, "doc_id").join(F.broadcast(chosen), "doc_id")
+    return texts(docs, "doc_id").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def _counted(sample: DataFrame, features: Any, key: str = "feature") -> DataFrame:
@@ -193,15 +197,15 @@ def _terms() -> Any:
     return of
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon: int = LEXICON) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
     """Learn terms, their weights and the weight of quotation from labelled documents.
 
-    ``rows`` bounds the labelled documents used, ``lexicon`` the terms kept (words, or beginnings of words
-    marked *).  A term is kept if toxic documents have it more often than chance would give any of the terms
-    as frequent as it.  Rows whose crc32 of the id leaves 1 modulo 3 are never used.  Without labels of both
-    kinds the model has no terms.
+    ``rows`` bounds the labelled documents used, and so what is counted and collected; each distinct text
+    counts once.  Every term (a word, or a beginning of words marked *) is kept that toxic texts have more
+    often than chance would give any of the terms as frequent as it.  Rows whose crc32 of the id leaves 1
+    modulo 3 are never used.  Without labels of both kinds the model has no terms.
     """
-    sample = _labelled_sample(docs, labels, rows)
+    sample = staged(_labelled_sample(docs, labels, rows), "toxicity-sample")
     counted = _counted(sample, _terms)
     totals = sample.agg(F.sum(F.when(F.col("toxic") > 0, 1)).alias("pos"), F.count("toxic").alias("n")).first()
     pos, n = totals.pos or 0, totals.n or 0
@@ -223,8 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon: int =
         return empty
     kept = (
         frequent.where((F.col("pos") >= 3) & (share >= 0.75)).withColumn("surprise", surprise)
-        .where(F.col("surprise") > rival[F.least(df, F.lit(1000))] + 3)
-        .orderBy(F.desc("surprise"), "feature").limit(lexicon).collect()
+        .where(F.col("surprise") > rival[F.least(df, F.lit(1000))] + 3).select("feature").collect()
     )
     terms = sorted(r.feature for r in kept)
 
@@ -239,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon: int =
 
         return of
 
-    seen = {r.feature: (r.pos, r.neg) for r in _counted(sample, hit_features).where("pos + neg >= 2 or feature in ('none', 'only quoted')").orderBy(F.desc(F.col("pos") + F.col("neg")), "feature").limit(8 * lexicon).collect()}
+    seen = {r.feature: (r.pos, r.neg) for r in _counted(sample, hit_features).where("pos + neg >= 2 or feature in ('none', 'only quoted')").collect()}
     none, quoted = seen.pop("none", (0, 0)), seen.pop("only quoted", (0, 0))
     seen.pop("plain", None)
     weights = {k: round((p + rate) / (p + q + 1), 6) for k, (p, q) in seen.items()}

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -179,6 +180,22 @@ def test_learned_terms_misspellings_and_quotation(spark, make, words):
     assert toxicity.fit(docs, known.where("false"))["terms"] == {} and toxicity.score(make([]), model).count() == 0
 
 
+def test_every_significant_term_is_kept_and_copies_count_once(spark, make, words):
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    marks = [f"q{a}{b}zz{a}{b}x" for a in "abcdefghijklmnop" for b in "abcdefghij"]  # 160 words, each with its beginnings
+    rows, labels = [], []
+    for i, doc in enumerate(ids[:1600]):
+        toxic = int(i % 4 == 0)
+        rows.append((doc, " ".join(words(30, i) + ([marks[(i // 4 + k) % len(marks)] for k in range(32)] if toxic else []))))
+        labels.append((doc, 1, toxic))
+    copied = "rarely seen " + " ".join(words(20, 99_999))
+    rows += [(doc, copied) for doc in ids[1600:1800]]
+    labels += [(doc, 1, 1) for doc in ids[1600:1800]]
+    model = toxicity.fit(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len(model["lexicon"]) > 512 and set(marks) <= set(model["lexicon"])
+    assert not {"rarely", "seen"} & set(model["lexicon"])
+
+
 # ---- lines ----
 
 
