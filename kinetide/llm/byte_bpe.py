@@ -25,14 +25,15 @@ def _byte_letters() -> dict[str, int]:
 class ByteBpe:
     """``encode`` gives the ids of a text as unsigned 32-bit bytes in the machine's order (little-endian wherever Spark runs).
 
-    The ids are those of ``tokenizers`` for the same file, the strings of special tokens being ordinary
+    The ids are those of ``tokenizers`` for the same file.  With ``special`` the strings of added tokens are
+    their ids, as ``tokenizers`` has it unless told otherwise; without, those of special tokens are ordinary
     text.  Where the file's merges are in the order of their ids (as here), ``tiktoken`` runs the same
     merges several times faster; otherwise ``tokenizers`` itself is used.  Words repeat, so their ids are
     kept; the cache is emptied when it holds ``cache`` words.
     """
 
-    def __init__(self, path: str, cache: int = 150_000):
-        self.limit, self.known = cache, {}
+    def __init__(self, path: str, cache: int = 150_000, special: bool = False):
+        self.limit, self.known, self.added, self.ids = cache, {}, None, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], _byte_letters()
@@ -41,24 +42,34 @@ class ByteBpe:
         merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
         pre = spec["pre_tokenizer"]
         plain = merged == sorted(merged) and spec["normalizer"] is None and pre["type"] == "ByteLevel" and not pre["add_prefix_space"]
+        if special and any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            plain = False
         if plain:
             import tiktoken
 
+            if special and added:
+                self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+                self.ids = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
             self._words = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         else:
             from tokenizers import Tokenizer
 
             whole = Tokenizer.from_file(path)
-            whole.encode_special_tokens = True
+            whole.encode_special_tokens = not special
             self._words = lambda s: whole.encode(s, add_special_tokens=False).ids
             self.limit = 0
 
     @classmethod
-    def load(cls, path: str) -> ByteBpe:
+    def load(cls, path: str, special: bool = False) -> ByteBpe:
         """One per worker and file, so that words are shared by its tasks."""
-        return held(("byte BPE", path), lambda: cls(path))
+        return held(("byte BPE", path, special), lambda: cls(path, special=special))
 
     def encode(self, text: str) -> bytes:
+        if self.added is None:
+            return self._plain(text)
+        return b"".join(self.ids[x] if i % 2 else self._plain(x) for i, x in enumerate(self.added.split(text)))
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.limit or len(text) < 2:

@@ -22,12 +22,12 @@ _TOKENS_SQL = "part int, before long, doc_id long, doc_tokens long, ids binary"
 _PIECES_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int, special: bool = False) -> DataFrame:
     """First pass: a staged table of every document's ids, with the tokens before it in its partition."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = ByteBpe.load(tokenizer).encode, TaskContext.get().partitionId(), 0
+        encode, part, before = ByteBpe.load(tokenizer, special).encode, TaskContext.get().partitionId(), 0
         for batch in pieces(batches):
             ids = [encode(t) + end for t in batch.column("text").to_pylist()]
             counts = [len(x) // 4 for x in ids]
@@ -41,7 +41,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return staged(texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, _TOKENS_SQL), "tokens")
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, with_ids: bool = True, special: bool = False) -> DataFrame:
     """One row per piece of a document in a sequence of ``length`` tokens.
 
     Documents (doc_id, text) are taken as one stream in the order of their partitions.  The first pass
@@ -52,9 +52,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, w
 
     The table of partition offsets has one row per task of the first pass, which bounds its broadcast.
     Null texts are empty and still have the end token; a null doc_id stays null; repeated rows are packed
-    as often as they come; an empty table gives no rows.
+    as often as they come; an empty table gives no rows.  ``special``: see ``ByteBpe``.
     """
-    tokens = token_table(docs, tokenizer, end_id)
+    tokens = token_table(docs, tokenizer, end_id, special)
     totals = tokens.groupBy("part").agg(F.max(F.col("before") + F.col("doc_tokens")).alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))

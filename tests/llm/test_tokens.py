@@ -49,6 +49,20 @@ def test_byte_bpe_is_the_tokenizers(words):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == reference(text)
 
 
+def test_strings_of_added_tokens_are_the_tokenizers(spark, make, words, tmp_path):
+    from kinetide.llm import queries
+
+    t, end = Tokenizer.from_file(BPE), "<|endoftext|>"
+    texts = [x or "" for x in ODD] + [end, end * 2, f"a {end} b", f" {end}  b", f"a\n\n{end}\n c", f"<|endoftext|{end}>", f"{' '.join(words(50, 1))}{end}{' '.join(words(50, 2))} "]
+    assert t.encode(f"a {end} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    enc = ByteBpe(BPE, cache=50, special=True)
+    for text in texts:
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    make(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_packing(spark, str(tmp_path)).select("doc_id", "doc_tokens").distinct().collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts)}
+
+
 @pytest.mark.parametrize("length", [8, 2048])
 def test_pieces_tile_documents_and_sequences(spark, make, words, length):
     texts = ODD + [" ".join(words(n, n)) for n in (1, 7, 8, 9, 900, 5000)]
