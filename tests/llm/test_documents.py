@@ -54,6 +54,35 @@ def test_licenses_equal_brute_force(spark, make, words):
     assert licenses.scan(make([])).count() == 0
 
 
+def test_license_windows_equal_brute_force(spark, make, words):
+    want = {label: t.split() for label, t in licenses.TEMPLATES.items()}
+    bsd, mit, cc = want["bsd"], want["mit"], want["cc-by-sa"]
+    texts = [
+        " ".join(bsd[:12]) + "\n" + " ".join(bsd[12:]), "a\n" + "\n".join(mit) + "\nb", " ".join(mit) + "\n" + " ".join(mit),
+        " ".join(x for w in mit for x in [w, *words(40, len(w))]),  # one line, scattered words
+        " ".join([*words(3000, 5), *mit[:3], *words(3000, 6), *mit[3:], *words(3000, 7)]), " ".join([*words(3000, 5), *cc, *words(3000, 6)])]
+    rng, pool = random.Random(3), sorted({w for t in want.values() for w in t})
+    for i in range(300):
+        own = rng.choices(pool, k=rng.randint(0, 50)) + words(rng.randint(0, 50), i)
+        rng.shuffle(own)
+        for _ in range(rng.randint(0, 3)):
+            note, at = list(rng.choice(list(want.values()))), rng.randint(0, len(own))
+            for _ in range(rng.randint(0, 3)):
+                note.insert(rng.randint(0, len(note)), rng.choice(["x", "the", "under"]))
+            own[at:at] = note[: rng.randint(len(note) - 1, len(note))]
+        texts.append("".join(w + rng.choice([" ", " ", "\n"]) for w in own))
+    rows = {r.doc_id: r for r in licenses.scan(make(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        own, labels = text.split(), set()
+        for label, t in want.items():
+            parts = [(own, len(t)), *((line.split(), licenses.SPAN * len(t)) for line in text.split("\n"))]
+            if any(len(set(t).intersection(x[j : j + n])) >= licenses.THRESHOLD * len(set(t)) - 1e-9 for x, n in parts for j in range(len(x))):
+                labels.add(label)
+        assert {b.label for b in rows[i].blocks} == labels, text
+    blocks = [[(b.line, b.label, b.containment) for b in rows[i].blocks] for i in range(6)]
+    assert blocks[:5] == [[(0, "bsd", 1.0)], [(1, "mit", 1.0)], [(0, "mit", 1.0), (1, "mit", 1.0)], [], []] and blocks[5] == [(0, "cc-by-sa", 1.0)]
+
+
 # ---- quality ----
 
 
