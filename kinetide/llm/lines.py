@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetide.kernels.attach import attach
+
 from .common import staged
 
 MIN_SITES, LG_K, MAX_SHARE = 10, 12, 0.5
@@ -59,11 +61,13 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return estimated.where(F.col("sites") > min_sites + band).select("line").unionByName(exact.where(F.col("sites") >= min_sites).select("line"))
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, max_share: float = MAX_SHARE) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, max_share: float = MAX_SHARE, proven: bool = False) -> DataFrame:
     """``docs`` with the boilerplate lines cut from ``text``, and n_lines and n_removed of each document.
 
     A document that would lose more than ``max_share`` of its letters stays whole: such a text is a copy
     of another document, which is for a near-duplicate stage to judge, and no page around boilerplate.
+    With ``proven`` that is not taken for granted: of such documents only those stay whole whose text another
+    row has exactly, or of which nothing but blanks would be left; boilerplate is cut from all others.
     Lines compare without blanks around them; blank lines are never boilerplate.  A null text stays null
     with no lines.  Rows with equal doc_id, null included, are each cut by their own lines.  An empty
     table gives an empty table.  Columns named n_lines and n_removed are replaced.
@@ -71,19 +75,31 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
     Only hashes of boilerplate lines are gathered per document, at most as many as it has lines.
     """
     found = staged(boilerplate(docs, site, min_sites, lg_k), "boilerplate")
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", line_key(F.col("line")).alias("line"))
-    cut = lines.join(found, "line", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("_cut")).withColumnRenamed("doc_id", "_doc")
-    kept = docs.drop("n_lines", "n_removed", "_cut", "_doc", "_lines", "_kept").join(cut, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    docs = docs.drop("n_lines", "n_removed", "_cut", "_doc", "_lines", "_kept", "_digest", "_copied")
+    keys = ["doc_id"]
+    if proven:
+        docs, keys = docs.withColumn("_digest", F.xxhash64("text")), ["doc_id", "_digest"]
+    lines = docs.select(*keys, F.explode(F.split("text", "\n")).alias("line")).select(*keys, line_key(F.col("line")).alias("line"))
+    cut = lines.join(found, "line", "left_semi").groupBy(*keys).agg(F.collect_set("line").alias("_cut"))
+    if proven:
+        # Texts are counted and looked up by digest; the digests of many copies are dealt by document.
+        copied = docs.groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1").select("_digest", F.lit(True).alias("_copied"))
+        cut = attach(cut, copied, ["_digest"], "left", spread="doc_id")
+    cut = cut.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.col("doc_id").eqNullSafe(F.col("_of_doc_id"))
+    kept = docs.join(cut, same & F.col("_digest").eqNullSafe(F.col("_of__digest")) if proven else same, "left")
     split = kept.withColumn("_lines", F.split("text", "\n"))
     marked = split.withColumn("_kept", F.when(F.col("_cut").isNotNull(), F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_cut"), line_key(x)))).otherwise(F.col("_lines")))
     whole = F.length(F.array_join("_kept", "\n")) < (1 - max_share) * F.length("text")
+    if proven:
+        whole = whole & (F.coalesce("_copied", F.lit(False)) | (F.trim(F.array_join("_kept", "")) == ""))
     chosen = marked.withColumn("_kept", F.when(whole, F.col("_lines")).otherwise(F.col("_kept")))
     n = F.coalesce(F.size("_lines"), F.lit(0))
     return (
         chosen.withColumn("text", F.array_join("_kept", "\n"))
         .withColumn("n_lines", F.when(F.col("_lines").isNull(), 0).otherwise(n).cast("long"))
         .withColumn("n_removed", F.when(F.col("_lines").isNull(), 0).otherwise(n - F.size("_kept")).cast("long"))
-        .drop("_cut", "_doc", "_lines", "_kept")
+        .drop("_cut", "_lines", "_kept", "_digest", "_copied", *[f"_of_{k}" for k in keys])
     )
 
 

@@ -260,6 +260,21 @@ def test_lines_equal_brute_force(spark, make, words, min_sites):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=str) == brute_lines(rows, min_sites)
 
 
+def test_the_stage_cuts_short_pages_and_spares_proven_copies(spark, make, words):
+    import corpus_pipeline
+
+    passage = " ".join(words(40, 3))
+    rows = [(i, f"own {i}\n{passage}", f"s{i}") for i in range(12)]
+    rows += [(20, f"copied\n{passage}", "s1"), (21, f"copied\n{passage}", "s2"), (22, f"\n{passage}\n ", "s1"), (23, None, "s1"), (None, f"null\n{passage}", "s1"), (None, f"other\n{passage}", "s1")]
+    docs = make(rows)
+    out = corpus_pipeline.line_dedup(spark, docs, "")
+    want = {(i, t if i in (20, 21, 22, 23) else t.split("\n")[0]) for i, t, _ in rows}
+    got = out.collect()
+    assert out.columns == docs.columns and len(got) == len(rows) and {(r.doc_id, r.text) for r in got} == want
+    assert all(r.n_chars == len(r.text or "") for r in got)
+    assert lines.without_boilerplate(make([]), proven=True).count() == 0
+
+
 def test_sketches_merge_and_empty(spark, make):
     parts = [make([(i, "one line", f"s{i}")]) for i in range(7)]
     both = lines.merged(*[lines.sketches(p, min_sites=1) for p in parts])
