@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, impact, jaccard, licenses, lines, multi_index, packing, quality, sentencepiece, toxicity
+from . import alignment, chat, impact, jaccard, licenses, lines, multi_index, packing, quality, sentencepiece, toxicity, whitening, winnowing
 from .common import keyed_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat.derived(table(spark, sf_dir, "conversations"))
     schemas = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("param"), F.lit(t).alias("type"), F.lit(r).alias("required")) for n, p, t, r in chat.SCHEMAS])
     return chat.link(calls, results, spark.range(1).select(F.inline(schemas)))
+
+
+@query()
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnowing.with_next(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.base64("fingerprint").alias("fingerprint"),
+        F.base64("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

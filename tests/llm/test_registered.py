@@ -25,8 +25,8 @@ def test_equals_sql(spark, name):
     assert sorted(map(repr, [tuple(sorted(zip(df.columns, r, strict=True))) for r in df.collect()])) == want and want
 
 
-def test_ten_operators():
-    assert [sum(n.startswith(f"op{i}_") for n in queries.QUERIES) for i in range(1, 11)] == [1] * 10
+def test_one_query_per_operator():
+    assert [sum(n.startswith(f"op{i}_") for n in queries.QUERIES) for i in range(1, 14)] == [1] * 13
 
 
 def test_neighbours_recall(spark):
