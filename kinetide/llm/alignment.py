@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from array import array
-from bisect import bisect_left
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,118 +12,138 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import ByteBpe
+from .byte_bpe import ByteBpe, _byte_letters
 from .common import fresh_path, held, pieces, staged, texts
+from .sentencepiece import raw_pieces
 
-MARK = "▁"
-#: A single blank between other characters starts a token of both tokenizers, whatever surrounds it.
-_CUT = re.compile(f"(?<=[^ {MARK}]) (?=\\S)")
-_ODD = re.compile(f" (?:\\s|$)|^ |{MARK}")
 #: Pairs in the broadcast table of the commonest ones; the others are joined.
 COMMON = 1 << 17
 
 
-def leaf_groups(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """How many tokens of each side the groups hold, in order; ``a`` and ``b`` are rising byte ends with a common last.
+def common_ends(a: np.ndarray, b: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Places in ``a`` whose end is one of ``b`` too; both hold rising byte ends.
 
-    A common end near the middle of an interval is sought by bisection: from the middle outwards each end of
-    one side is looked up in the other.  Both halves are cut again; an interval without a cut is a group.
+    ``starts`` and ``stops`` give the intervals to cut, as ranges of ``a`` whose last end is common: whole texts at
+    first.  In each, a common end near the middle is sought by bisection: from the middle outwards the ends of
+    ``a`` are looked up in ``b``.  Both halves are cut again; an interval in which none is found is a leaf.  All
+    intervals of a level take each step together, so a batch of texts needs a few steps per level of halving.
     """
-    cuts, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        start = a[a0 - 1] if a0 else 0
-        middle = bisect_left(a, (start + a[a1 - 1] + 1) // 2, a0, a1)
-        cut = None
-        for step in range(max(a1 - middle, middle - a0 + 1)):
-            for i in {middle + step, middle - step}:
-                if a0 <= i < a1 - 1:
-                    j = bisect_left(b, a[i], b0, b1 - 1)
-                    if j < b1 - 1 and b[j] == a[i]:
-                        cut = (i + 1, j + 1)
-            if cut:
-                break
-        if cut is None:
-            cuts.append((a1, b1))
-        else:
-            todo.append((cut[0], a1, cut[1], b1))
-            todo.append((a0, cut[0], b0, cut[1]))
-    return [(x - p, y - q) for (x, y), (p, q) in zip(cuts, [(0, 0), *cuts], strict=False)]
+    found = [stops - 1]
+    low, high = starts, stops - 1  # candidates are the ends before the last one
+    while len(low):
+        middle = (low + high) // 2
+        cut = np.full(len(low), -1)
+        open_, step = np.flatnonzero(high > low), 0
+        while len(open_):
+            for at in (middle[open_] + step, middle[open_] - step) if step else (middle[open_],):
+                inside = (at >= low[open_]) & (at < high[open_])
+                ends = a[at[inside]]
+                same = np.zeros(len(open_), bool)
+                same[inside] = b[np.minimum(np.searchsorted(b, ends), len(b) - 1)] == ends
+                cut[open_[same]] = at[same]
+            step += 1
+            open_ = open_[(cut[open_] < 0) & ((middle[open_] + step < high[open_]) | (middle[open_] - step >= low[open_]))]
+        split = np.flatnonzero(cut >= 0)
+        found.append(cut[split])
+        low, high = np.concatenate([low[split], cut[split] + 1]), np.concatenate([cut[split], high[split]])
+        some = high > low
+        low, high = low[some], high[some]
+    return np.sort(np.concatenate(found))
+
+
+class Tokens:
+    """Ids, byte ranges and spellings of one side for a batch of texts, end to end."""
+
+    def __init__(self, ids: list[list[int] | np.ndarray], raw: np.ndarray, size: np.ndarray):
+        self.counts = np.array([len(x) for x in ids], np.int64)
+        self.ids = np.concatenate([np.asarray(x, np.int64) for x in ids]) if len(ids) else np.empty(0, np.int64)
+        self.raw, self.size = raw, size
+
+    def spelled(self) -> list[bytes]:
+        """The joined bytes of each text's tokens."""
+        parts, at, out = self.raw[self.ids].tolist(), 0, []
+        for n in self.counts.tolist():
+            out.append(b"".join(parts[at : at + n]))
+            at += n
+        return out
+
+
+def _written(ids: range, end: str) -> np.ndarray:
+    return np.array([f"{i}{end}".encode() for i in ids], dtype=object)
 
 
 class Pair:
-    """Both tokenizers, and the alignment of words that were met before.
+    """Both tokenizers with the bytes and decimal forms of their ids."""
 
-    Texts are cut at blanks that both have as a cut, the words between are encoded and aligned once and kept
-    in a bounded cache.  A word is (n_a, n_b, n_groups, groups, codes): ``codes`` has a * n_pieces + b of each link as
-    64-bit bytes.  It is None if the pieces don't spell the word.
-    """
-
-    def __init__(self, byte_bpe: str, model: str, cache: int = 60_000):
+    def __init__(self, byte_bpe: str, model: str):
         from sentencepiece import SentencePieceProcessor
 
-        self.bpe, self.model = ByteBpe(byte_bpe, cache=1000), SentencePieceProcessor(model_file=model)
-        self.raw_a = raw_tokens(byte_bpe)
-        self.n_b, self.known, self.limit = self.model.get_piece_size(), {}, cache
-        self.raw_b = [
-            bytes([int(name[1:-1], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) or self.model.is_unknown(i) else name.replace(MARK, " ").encode()
-            for i, name in enumerate(map(self.model.id_to_piece, range(self.n_b)))]
+        self.bpe, self.model = ByteBpe(byte_bpe, cache=0), SentencePieceProcessor(model_file=model)
+        tokens = raw_tokens(byte_bpe)
+        of = [[tokens.get(i, b"") for i in range(max(tokens) + 1)], raw_pieces(self.model)]
+        self.n_b = len(of[1])
+        self.raw = [np.array(x, dtype=object) for x in of]
+        self.size = [np.array([len(t) for t in x], np.int64) for x in of]
+        self.inner = [_written(range(len(x)), ",") for x in of]
+        self.last = [_written(range(len(of[0])), "|"), _written(range(len(of[1])), ";")]
 
     @classmethod
     def load(cls, byte_bpe: str, model: str) -> Pair:
         return held(("pair", byte_bpe, model), lambda: cls(byte_bpe, model))
 
-    def word(self, rest: str) -> tuple[int, int, int, str, bytes] | None:
-        """The alignment of a blank and ``rest``."""
-        a, b = array("I", self.bpe.encode(" " + rest)), self.model.encode(rest)
-        whole = (" " + rest).encode()
-        parts_a, parts_b = [self.raw_a[i] for i in a], [self.raw_b[i] for i in b]
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return None
-        ends = [np.cumsum([len(x) for x in p]).tolist() for p in (parts_a, parts_b)]
-        groups, codes, i, j = [], array("Q"), 0, 0
-        split = leaf_groups(*ends)
-        for n, m in split:
-            groups.append(",".join(map(str, a[i : i + n])) + "|" + ",".join(map(str, b[j : j + m])))
-            last_a, last_b = i + n, j + m
-            while True:  # no end is common inside a group, so one side moves at a time
-                codes.append(a[i] * self.n_b + b[j])
-                if i + 1 == last_a and j + 1 == last_b:
-                    break
-                if ends[0][i] < ends[1][j]:
-                    i += 1
-                else:
-                    j += 1
-            i, j = last_a, last_b
-        return len(a), len(b), len(split), ";".join(groups), codes.tobytes()
-
-    def text(self, text: str) -> tuple[int, int, int, str, np.ndarray] | None:
-        """The alignment of a whole text, ``codes`` as an array; None if it has no tokens."""
-        if not text:
-            return None
-        words = _CUT.split(text) if "  " in text or _ODD.search(text) else text.split(" ")
-        known, found = self.known, []
-        for w in words:
-            got = known.get(w, 0)
-            if got == 0:
-                got = self.word(w)
-                if len(w) <= 100:
-                    if len(known) >= self.limit:
-                        known.clear()
-                    known[w] = got
-            if got is None:
-                return None
-            found.append(got)
-        n_a, n_b, n_groups, groups, codes = zip(*found, strict=True)
-        return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), np.frombuffer(b"".join(codes), np.uint64)
+    def encoded(self, batch: list[str]) -> tuple[list[int], list[np.ndarray], list[list[int]]]:
+        """(places of the texts with tokens, their ids on both sides)."""
+        some = [i for i, t in enumerate(batch) if t]
+        a = [np.frombuffer(self.bpe.encode(" " + batch[i]), "<u4") for i in some]
+        b = self.model.encode([batch[i] for i in some], num_threads=1) if some else []
+        whole = [(" " + batch[i]).encode() for i in some]
+        spelled = [Tokens(ids, raw, size).spelled() for ids, raw, size in zip((a, b), self.raw, self.size, strict=True)]
+        fine = [k for k in range(len(some)) if spelled[0][k] == whole[k] == spelled[1][k]]
+        return [some[k] for k in fine], [a[k] for k in fine], [b[k] for k in fine]
+
+    def align(self, batch: list[str]) -> list[tuple[int, int, int, bytes, np.ndarray] | None]:
+        """(n_a, n_b, n_groups, groups, codes) of each text, None without tokens.
+
+        ``codes`` has a * n_b + b of each link: between neighbouring ends of either side lies one piece of one
+        token of each, so links are the distinct ends.
+        """
+        out: list[tuple[int, int, int, bytes, np.ndarray] | None] = [None] * len(batch)
+        places, *ids = self.encoded(batch)
+        if not places:
+            return out
+        a, b = (Tokens(x, raw, size) for x, raw, size in zip(ids, self.raw, self.size, strict=True))
+        ends = [np.cumsum(t.size[t.ids]) for t in (a, b)]
+        last = [np.cumsum(t.counts) for t in (a, b)]
+        cuts_a = common_ends(ends[0], ends[1], last[0] - a.counts, last[0])
+        cuts_b = np.searchsorted(ends[1], ends[0][cuts_a])
+        # Decimal forms in the order of groups, A before B.
+        group = [np.repeat(np.arange(len(c)), np.diff(c, prepend=-1)) for c in (cuts_a, cuts_b)]
+        done_a, done_b = np.concatenate([[0], cuts_a + 1]), np.concatenate([[0], cuts_b + 1])
+        written = np.empty(len(a.ids) + len(b.ids), dtype=object)
+        for t, g, c, own, other, inner, final in ((a, group[0], cuts_a, done_a, done_b[:-1], self.inner[0], self.last[0]), (b, group[1], cuts_b, done_b, done_a[1:], self.inner[1], self.last[1])):
+            words = inner[t.ids]
+            words[c] = final[t.ids[c]]
+            written[np.arange(len(t.ids)) + other[g]] = words
+        written = written.tolist()
+        # Links of the whole batch, then of each text.
+        is_end = np.zeros((2, int(ends[0][-1]) + 1), bool)
+        is_end[0, ends[0]] = is_end[1, ends[1]] = True
+        all_ends = np.flatnonzero(is_end[0] | is_end[1])
+        token = [np.cumsum(x, dtype=np.int64)[all_ends] - x[all_ends] for x in is_end]
+        codes = (a.ids[token[0]] * self.n_b + b.ids[token[1]]).astype(np.uint64)
+        text_ends = ends[0][last[0] - 1]
+        links = np.searchsorted(all_ends, text_ends, side="right")
+        groups = np.searchsorted(ends[0][cuts_a], text_ends, side="right")
+        w = l = g = 0
+        for k, place in enumerate(places):
+            n_a, n_b = int(a.counts[k]), int(b.counts[k])
+            out[place] = (n_a, n_b, int(groups[k]) - g, b"".join(written[w : w + n_a + n_b])[:-1], codes[l : links[k]])
+            w, l, g = w + n_a + n_b, int(links[k]), int(groups[k])
+        return out
 
 
 def raw_tokens(byte_bpe: str) -> dict[int, bytes]:
     """The bytes of each id of a byte-level vocabulary."""
-    import json
-
-    from .byte_bpe import _byte_letters
-
     letters = _byte_letters()
     with open(byte_bpe, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
@@ -163,14 +181,13 @@ def aligned(docs: DataFrame, byte_bpe: str, model: str) -> DataFrame:
         pair, row = Pair.load(byte_bpe, model), TaskContext.get().partitionId() << 36
         for batch in pieces(batches, 256):
             out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                got = pair.text(text)
+            for doc, got in zip(batch.column("doc_id").to_pylist(), pair.align(batch.column("text").to_pylist()), strict=True):
                 if got is None:
                     out.append((row, doc, 0, 0, 0, 0, "", b"", b""))
                 else:
                     n_a, n_b, n_groups, groups, links = got
                     codes, times = np.unique(links, return_counts=True)
-                    out.append((row, doc, n_a, n_b, n_groups, len(links), hashlib.sha256(groups.encode()).hexdigest(), shuffled_bytes(np.diff(codes, prepend=np.uint64(0))), shuffled_bytes(times.astype(np.uint32))))
+                    out.append((row, doc, n_a, n_b, n_groups, len(links), hashlib.sha256(groups).hexdigest(), shuffled_bytes(np.diff(codes, prepend=np.uint64(0))), shuffled_bytes(times.astype(np.uint32))))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ALIGNED, strict=True)], schema=_ALIGNED)
 

@@ -5,6 +5,7 @@ import random
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -12,20 +13,25 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from kinetide.llm import alignment, queries
-from kinetide.llm.alignment import leaf_groups, raw_tokens
+from kinetide.llm.alignment import common_ends, raw_tokens
 
 BPE, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", None, " ", "  a   b \n c  ", "x", "a <s> b ▁▁ d", "a <s> </s> <unk> <0x41> d <|endoftext|>", "it's  \t x　y \x1cz é ok ", " \n\n a", "日本 語  テ ℌℌ", "aaaaaaaaaaaaaaaaaaaa bbbbb the thethethe         x", "same", "same", "a\n b\t c\r\n  d", "q" * 300, "nul\x00 byte 𝔘 🙂🙂", "ﬁ Ⅻ ½"]
 
 
-@pytest.mark.parametrize("seed", range(30))
-def test_groups_are_all_common_ends(seed):
-    r = random.Random(seed)
-    n = r.randint(1, 200)
-    a, b = (sorted({n, *r.sample(range(1, n + 1), r.randint(0, n))}) for _ in range(2))
-    common = sorted(set(a) & set(b))
-    want = [(sum(p < x <= c for x in a), sum(p < x <= c for x in b)) for p, c in zip([0, *common], common, strict=False)]
-    assert leaf_groups(a, b) == want
+@pytest.mark.parametrize("seed", range(60))
+def test_cuts_are_all_common_ends(seed):
+    """Several texts end to end; the last end of each is common."""
+    r, a, b, starts, stops, at = random.Random(seed), [], [], [], [], 0
+    for _ in range(r.randint(1, 6)):
+        n = r.randint(1, 200)
+        starts.append(len(a))
+        for side in (a, b):
+            side += sorted({at + n, *(at + x for x in r.sample(range(1, n + 1), r.randint(0, n // r.choice([1, 1, 10]))))})
+        stops.append(len(a))
+        at += n
+    got = common_ends(*map(np.array, (a, b, starts, stops)))
+    assert got.tolist() == [i for i, x in enumerate(a) if x in set(b)]
 
 
 def libraries():
