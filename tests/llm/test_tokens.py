@@ -1,5 +1,7 @@
 """Encoding and packing against the public libraries."""
 
+import random
+import struct
 import zlib
 
 import numpy as np
@@ -28,6 +30,58 @@ def test_pieces_are_the_librarys(spark, make, words):
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<i4").tobytes())
 
 
+def unigram_model(path, words, byte_fallback):
+    """A model file written by hand: parts of words with made-up log-probabilities; nothing is trained."""
+
+    def number(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    def field(n, value):
+        return number(n << 3 | 2) + number(len(value)) + value if isinstance(value, bytes) else number(n << 3) + number(value)
+
+    def piece(text, score, kind=1):
+        return field(1, field(1, text.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + field(3, kind))
+
+    r = random.Random(1)
+    parts = sorted({w[i : i + r.randint(1, 5)] for w in words for i in range(len(w))} | {"▁" + w[: r.randint(0, 3)] for w in words} | set("abenrt.é") | {"▁"})
+    made = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3)
+    if byte_fallback:
+        made += b"".join(piece(f"<0x{i:02X}>", 0, 6) for i in range(256))
+    made += b"".join(piece(p, -r.choice([1.5, 2.0, 3.0, 4.5]) * len(p) ** 0.7 - r.random()) for p in parts)
+    trainer = field(3, 1) + (field(35, 1) if byte_fallback else b"")
+    normalizer = field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1)
+    path.write_bytes(made + field(2, trainer) + field(3, normalizer))
+    return str(path)
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_unigram_pieces_are_the_librarys(spark, make, words, tmp_path, byte_fallback):
+    path = unigram_model(tmp_path / "unigram.model", words(300, 8), byte_fallback)
+    texts = ODD + [" ".join(words(60, i)) for i in range(40)] + ["".join(words(300, 5)), "zq zzz qzq 日本語"]
+    got = sentencepiece.decode(sentencepiece.encode(make(list(enumerate(texts))), path), path).collect()
+    sp = SentencePieceProcessor(model_file=path)
+    assert len(got) == len(texts) and sum(len(r.ids) for r in got) > 5000
+    for r in got:
+        text = texts[r.doc_id] or ""
+        assert r.ids == sp.encode(text), text
+        if byte_fallback:
+            assert r.decoded == sp.decode(r.ids)
+
+
+def test_decoding_any_ids(spark):
+    sp = SentencePieceProcessor(model_file=MODEL)
+    r = random.Random(2)
+    lists = [[], [1, 2], [29871], [29871, 29871]] + [[r.randint(3, sp.get_piece_size() - 1) for _ in range(20)] for _ in range(60)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*lists, None])], "doc_id long, ids array<int>")
+    raw = sentencepiece.raw_pieces(sp)
+    for row in sentencepiece.decode(df, MODEL).collect():
+        want = None if row.ids is None else b"".join(raw[i] for i in row.ids).decode("utf-8", "replace")
+        assert row.decoded == (want[1:] if want and want[0] == " " else want)
+
+
 def test_extra_columns_and_empty_table(spark, make):
     docs = make(["one two"]).withColumn("ids", F.lit("mine")).withColumn("part", F.lit(1))
     assert sentencepiece.encode(docs, MODEL).count() == 1
