@@ -5,39 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetide.kernels.attach import attach
-
 from .common import staged
 
-MIN_SITES, LG_K, MAX_SHARE = 10, 12, 0.5
+MIN_SITES, LG_K = 10, 12
 
 
 def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def site_lines(docs: DataFrame, site: str = "source") -> DataFrame:
-    """(line, site): the hash of each line that isn't blank, with its document's site; a null site is one site."""
-    lines = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line"))
-    return lines.where(F.trim("line") != "").select(line_key(F.col("line")).alias("line"), "site")
+def line_keys(text: Column) -> Column:
+    """The distinct keys of a text's lines that aren't blank."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), line_key))
 
 
-def spread(docs: DataFrame, site: str) -> DataFrame:
-    """(line, site, n): how often each line stands on each site."""
-    return site_lines(docs, site).groupBy("line", "site").agg(F.count("*").alias("n"))
+def site_lines(docs: DataFrame, site: str = "source") -> DataFrame:
+    """(line, site, n): on how many distinct whole texts of each site a line stands.
 
+    Copies of a whole text are one text, on the least of their sites: a page that is copied to ten sites doesn't make
+    its lines boilerplate.  A text travels as its lines' keys, under two 64-bit digests, and copies combine
+    before the shuffle.  A null site is one site.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(
+        F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), line_keys(text).alias("lines"))
+    once = rows.where(F.size("lines") > 0).groupBy("a", "b").agg(F.min("site").alias("site"), F.any_value("lines").alias("lines"))
+    return once.select(F.explode("lines").alias("line"), "site").groupBy("line", "site").agg(F.count("*").alias("n"))
 
-def sketches(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """(line, sketch): a HyperLogLog sketch of the sites of each line that stands often enough.
 
-    A line on s sites stands at least s times, so a plain count first drops the many rare lines.  All
+def sketches_of(spread: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """(line, sketch) from (line, site, n): a HyperLogLog sketch of the sites of each line that stands often enough.
+
+    A line on s sites stands on at least s texts, so a plain count first drops the many rare lines.  All
     aggregates combine before their shuffle, and lines are joined as one row per site, so a line of a third
     of all rows is a row per task or site.
     """
-    lines = spread(docs, site)
-    often = lines.groupBy("line").agg(F.sum("n").alias("n"), F.min("site").alias("a"), F.max("site").alias("z"))
+    often = spread.groupBy("line").agg(F.sum("n").alias("n"), F.min("site").alias("a"), F.max("site").alias("z"))
     often = often.where((F.col("n") >= min_sites) & ((F.col("a") < F.col("z")) | F.lit(min_sites <= 1))).select("line")
-    return lines.join(often, "line", "left_semi").groupBy("line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
+    return spread.join(often, "line", "left_semi").groupBy("line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
+
+
+def sketches(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """(line, sketch) of a corpus, or of a part of it that ``merged`` joins with others."""
+    return sketches_of(site_lines(docs, site), min_sites, lg_k)
 
 
 def merged(*tables: DataFrame) -> DataFrame:
@@ -54,67 +64,56 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     Estimates further than four standard errors (and one site) from the threshold decide by themselves;
     the lines between get an exact distinct count.
     """
-    estimated = staged(sketches(docs, site, min_sites, lg_k).select("line", F.hll_sketch_estimate("sketch").alias("sites")), "line-sites")
+    spread = staged(site_lines(docs, site), "site-lines")
+    estimated = staged(sketches_of(spread, min_sites, lg_k).select("line", F.hll_sketch_estimate("sketch").alias("sites")), "line-sites")
     band = max(1.0, 4 * 1.04 / 2 ** (lg_k / 2) * min_sites)
     near = estimated.where(F.abs(F.col("sites") - min_sites) <= band).select("line")
-    exact = spread(docs, site).join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites"))
+    exact = spread.join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites"))
     return estimated.where(F.col("sites") > min_sites + band).select("line").unionByName(exact.where(F.col("sites") >= min_sites).select("line"))
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, max_share: float = MAX_SHARE, proven: bool = False) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """``docs`` with the boilerplate lines cut from ``text``, and n_lines and n_removed of each document.
 
-    A document that would lose more than ``max_share`` of its letters stays whole: such a text is a copy
-    of another document, which is for a near-duplicate stage to judge, and no page around boilerplate.
-    With ``proven`` that is not taken for granted: of such documents only those stay whole whose text another
-    row has exactly, or of which nothing but blanks would be left; boilerplate is cut from all others.
+    Boilerplate are lines that distinct whole texts have on at least ``min_sites`` sites.  Only a document of which
+    nothing but blanks would be left stays whole, as a page of its own.
     Lines compare without blanks around them; blank lines are never boilerplate.  A null text stays null
     with no lines.  Rows with equal doc_id, null included, are each cut by their own lines.  An empty
-    table gives an empty table.  Columns named n_lines and n_removed are replaced.
+    table gives an empty table.  Columns named n_lines and n_removed are replaced, all others stay.
 
     Only hashes of boilerplate lines are gathered per document, at most as many as it has lines.
     """
     found = staged(boilerplate(docs, site, min_sites, lg_k), "boilerplate")
-    docs = docs.drop("n_lines", "n_removed", "_cut", "_doc", "_lines", "_kept", "_digest", "_copied")
-    keys = ["doc_id"]
-    if proven:
-        docs, keys = docs.withColumn("_digest", F.xxhash64("text")), ["doc_id", "_digest"]
-    lines = docs.select(*keys, F.explode(F.split("text", "\n")).alias("line")).select(*keys, line_key(F.col("line")).alias("line"))
-    cut = lines.join(found, "line", "left_semi").groupBy(*keys).agg(F.collect_set("line").alias("_cut"))
-    if proven:
-        # Texts are counted and looked up by digest; the digests of many copies are dealt by document.
-        copied = docs.groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1").select("_digest", F.lit(True).alias("_copied"))
-        cut = attach(cut, copied, ["_digest"], "left", spread="doc_id")
-    cut = cut.withColumnsRenamed({k: f"_of_{k}" for k in keys})
-    same = F.col("doc_id").eqNullSafe(F.col("_of_doc_id"))
-    kept = docs.join(cut, same & F.col("_digest").eqNullSafe(F.col("_of__digest")) if proven else same, "left")
-    split = kept.withColumn("_lines", F.split("text", "\n"))
-    marked = split.withColumn("_kept", F.when(F.col("_cut").isNotNull(), F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_cut"), line_key(x)))).otherwise(F.col("_lines")))
-    whole = F.length(F.array_join("_kept", "\n")) < (1 - max_share) * F.length("text")
-    if proven:
-        whole = whole & (F.coalesce("_copied", F.lit(False)) | (F.trim(F.array_join("_kept", "")) == ""))
-    chosen = marked.withColumn("_kept", F.when(whole, F.col("_lines")).otherwise(F.col("_kept")))
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    return (
-        chosen.withColumn("text", F.array_join("_kept", "\n"))
-        .withColumn("n_lines", F.when(F.col("_lines").isNull(), 0).otherwise(n).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_lines").isNull(), 0).otherwise(n - F.size("_kept")).cast("long"))
-        .drop("_cut", "_lines", "_kept", "_digest", "_copied", *[f"_of_{k}" for k in keys])
-    )
+    lines = docs.select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "\n")).alias("line")).select("doc", line_key(F.col("line")).alias("line"))
+    cut = lines.join(found, "line", "left_semi").groupBy("doc").agg(F.collect_set("line").alias("cut"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # A row travels as one struct, so that no column of it can clash with those of this plan.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    split = rows.join(cut, F.col("row.doc_id").eqNullSafe(F.col("doc")), "left").select("row", "cut", F.split("row.text", "\n").alias("lines"))
+    kept = F.when(F.col("cut").isNotNull(), F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("cut"), line_key(x)))).otherwise(F.col("lines"))
+    split = split.select("row", "lines", kept.alias("kept"))
+    chosen = F.when(F.trim(F.array_join("kept", "")) == "", F.col("lines")).otherwise(F.col("kept"))
+    split = split.select("row", "lines", chosen.alias("kept"))
+    n = lambda column: F.coalesce(F.when(F.col(column).isNotNull(), F.size(column)), F.lit(0))
+    return split.select(
+        *[F.array_join("kept", "\n").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in names],
+        n("lines").cast("long").alias("n_lines"), (n("lines") - n("kept")).cast("long").alias("n_removed"))
 
 
 #: The rows of the registered query: exact distinct counts.
 SQL = f"""
-WITH lines AS (
-  SELECT coalesce(source, '') AS site, trim(unnest(string_split(coalesce(text, ''), chr(10)))) AS line FROM documents
+WITH texts AS (
+  SELECT coalesce(text, '') AS text, min(coalesce(source, '')) AS site FROM documents GROUP BY 1
+), lines AS (
+  SELECT site, trim(unnest(string_split(text, chr(10)))) AS line FROM texts
 ), spread AS (
   SELECT list(line) AS found FROM (SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES})
 ), cut AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS lines,
+  SELECT doc_id, string_split(text, chr(10)) AS lines,
          [x FOR x IN string_split(text, chr(10)) IF NOT coalesce(list_contains(found, trim(x)), false)] AS kept
   FROM documents CROSS JOIN spread
 ), chosen AS (
-  SELECT doc_id, lines, CASE WHEN length(array_to_string(kept, chr(10))) < {1 - MAX_SHARE} * length(text) THEN lines ELSE kept END AS kept FROM cut
+  SELECT doc_id, lines, CASE WHEN trim(coalesce(array_to_string(kept, ''), '')) = '' THEN lines ELSE kept END AS kept FROM cut
 )
 SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lines) - len(kept), 0)::BIGINT AS n_removed, md5(array_to_string(kept, chr(10))) AS text_md5
 FROM chosen

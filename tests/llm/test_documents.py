@@ -209,6 +209,29 @@ def test_learned_terms_misspellings_and_quotation(spark, make, words):
     assert toxicity.fit(docs, known.where("false"))["terms"] == {} and toxicity.score(make([]), model).count() == 0
 
 
+def test_a_clean_word_among_many_neighbouring_terms(spark, make, words):
+    """Words built on one beginning speak for each other by that beginning once; words near them are clean."""
+    rng, rows, labels = random.Random(8), [], []
+    ends = "a e i o u ba re ti mo ku".split()
+    for i in range(1500):
+        toxic = int(i % 6 == 0)
+        w = words(60, i) + (["gruvelt" + e for e in rng.sample(ends, 4)] if toxic else [])
+        if i % 3 == 1:
+            w.append(rng.choice(["ruvelta", "gruveta", "gruvelto"[:6], "ruveltba", "gruveltt"[1:]]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, toxic))
+    clean = "ruvelta gruveta grvelti truvelte gruvelu"
+    tests = [(9001, " ".join(words(50, 1)) + " " + clean), (9002, " ".join(words(50, 2)) + " gruvelta gruveltba"), (9003, clean.split()[0])]
+    docs = make(rows + tests)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len([t for t in model["lexicon"] if t.startswith("gruv")]) >= 10
+    score = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert score[9001] < 0.1 and score[9003] < 0.1 and score[9002] > 0.9
+    finder = toxicity.finder_of(model)
+    one = toxicity.sums(finder, model, "gruvelta")[0]
+    assert one == max(w for t, w in model["terms"].items() if t == "gruvelta 0") and toxicity.sums(finder, model, "gruvelta gruvelta")[0] == one
+
+
 def test_every_significant_term_is_kept_and_copies_count_once(spark, make, words):
     ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1]
     marks = [f"q{a}{b}zz{a}{b}x" for a in "abcdefghijklmnop" for b in "abcdefghij"]  # 160 words, each with its beginnings
@@ -229,18 +252,20 @@ def test_every_significant_term_is_kept_and_copies_count_once(spark, make, words
 
 
 def brute_lines(rows, min_sites):
-    sites = {}
+    sites, site_of = {}, {}
     for _, text, source in rows:
-        for x in (text or "").split("\n"):
+        site_of[text or ""] = min(source or "", site_of.get(text or "", source or ""))
+    for text, site in site_of.items():  # a text copied to many sites is one text
+        for x in text.split("\n"):
             if x.strip(" "):
-                sites.setdefault(x.strip(" "), set()).add(source or "")
+                sites.setdefault(x.strip(" "), set()).add(site)
     out = []
     for doc, text, _ in rows:
         if text is None:
             out.append((doc, None, 0, 0))
             continue
         all_, kept = text.split("\n"), [x for x in text.split("\n") if not x.strip(" ") or len(sites[x.strip(" ")]) < min_sites]
-        if len("\n".join(kept)) < 0.5 * len(text):
+        if not "".join(kept).strip(" "):
             kept = all_
         out.append((doc, "\n".join(kept), len(all_), len(all_) - len(kept)))
     return sorted(out, key=str)
@@ -255,24 +280,27 @@ def test_lines_equal_brute_force(spark, make, words, min_sites):
         rng.shuffle(parts)
         rows.append((i, "\n".join(parts), rng.choice([None, "a", "b", "c", "d", "e", "f", "g"])))
     rows += [(500, None, "a"), (501, "", "a"), (502, common[0], "b"), (None, common[0] + "\n" + " ".join(words(30, 1)), "c"), (None, None, "c"), rows[3], rows[3], (503, "x y\n" * 3000, "a")]
-    docs = make(rows).withColumn("n_lines", F.lit("mine"))
+    rows += [(600 + i, "a copied page\nof two lines", s) for i, s in enumerate("abcdefg")] + [(610, "a copied page\nand its own end", "g")]
+    docs = make(rows).withColumn("n_lines", F.lit("mine")).withColumns({c: F.lit(1) for c in ("row", "cut", "lines", "kept", "doc", "line", "site", "_of_doc_id")})
     got = lines.without_boilerplate(docs, min_sites=min_sites).select("doc_id", "text", "n_lines", "n_removed").collect()
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=str) == brute_lines(rows, min_sites)
 
 
-def test_the_stage_cuts_short_pages_and_spares_proven_copies(spark, make, words):
+def test_the_stage_cuts_short_pages_and_copies_of_them(spark, make, words):
+    """A passage on 12 sites goes from every page that has anything else; a page copied to 12 sites stays."""
     import corpus_pipeline
 
     passage = " ".join(words(40, 3))
     rows = [(i, f"own {i}\n{passage}", f"s{i}") for i in range(12)]
     rows += [(20, f"copied\n{passage}", "s1"), (21, f"copied\n{passage}", "s2"), (22, f"\n{passage}\n ", "s1"), (23, None, "s1"), (None, f"null\n{passage}", "s1"), (None, f"other\n{passage}", "s1")]
+    rows += [(30 + i, "page of one author\non every site", f"s{i}") for i in range(12)]
     docs = make(rows)
     out = corpus_pipeline.line_dedup(spark, docs, "")
-    want = {(i, t if i in (20, 21, 22, 23) else t.split("\n")[0]) for i, t, _ in rows}
+    want = {(i, t if i in (22, 23) or (i or 0) >= 30 else t.split("\n")[0]) for i, t, _ in rows}
     got = out.collect()
     assert out.columns == docs.columns and len(got) == len(rows) and {(r.doc_id, r.text) for r in got} == want
     assert all(r.n_chars == len(r.text or "") for r in got)
-    assert lines.without_boilerplate(make([]), proven=True).count() == 0
+    assert not any(passage in (r.text or "") for r in got if r.doc_id != 22)
 
 
 def test_sketches_merge_and_empty(spark, make):
