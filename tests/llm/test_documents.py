@@ -221,7 +221,7 @@ def test_a_clean_word_among_many_neighbouring_terms(spark, make, words):
         rows.append((i, " ".join(w)))
         labels.append((i, 1, toxic))
     clean = "ruvelta gruveta grvelti truvelte gruvelu"
-    tests = [(9001, " ".join(words(50, 1)) + " " + clean), (9002, " ".join(words(50, 2)) + " gruvelta gruveltba"), (9003, clean.split()[0])]
+    tests = [(9001, " ".join(words(50, 1)) + " " + clean), (9002, " ".join(words(50, 2)) + " gruvelta gruveltba gruveltku"), (9003, clean.split()[0])]
     docs = make(rows + tests)
     model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert len([t for t in model["lexicon"] if t.startswith("gruv")]) >= 10
