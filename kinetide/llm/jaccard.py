@@ -17,7 +17,9 @@ from .common import pieces, staged, texts
 from .graph import components
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
-BITS, TILE, HUB, LEADS = 1024, 256, 128, 8
+BITS, TILE, HUB = 1024, 256, 128
+#: Rows of tiles that are tested together, and documents up to which a matrix marks the pairs that meet.
+TOGETHER, MATRIX = 250_000, 4096
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,6 +156,74 @@ def may_link(a: str, b: str, num: int, den: int) -> Column:
     return (small * den >= large * num) & (bits * (den + num) <= sizes * (den - num))
 
 
+def meeting(tiles: list[np.ndarray], component: np.ndarray, matrix: int = MATRIX) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (i < j) of different components that meet in any of the tiles (arrays of numbers)."""
+    n = len(component)
+    if n <= matrix:
+        met = np.zeros((n, n), bool)
+        for x in tiles:
+            met[np.ix_(x, x)] = True
+        i, j = np.nonzero(np.triu(met, 1))
+    else:
+        codes, waiting = np.empty(0, np.int64), []
+        for k, x in enumerate(tiles, 1):
+            a, b = np.triu_indices(len(x), 1)
+            x = np.sort(x)
+            waiting.append(x[a] * n + x[b])
+            if k == len(tiles) or sum(map(len, waiting)) > 4_000_000:
+                codes, waiting = np.unique(np.concatenate([codes, *waiting])), []
+        i, j = np.divmod(codes, n)
+    apart = component[i] != component[j]
+    return i[apart], j[apart]
+
+
+def open_pairs(tiles: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) of different components that share a tile and pass the bounds of sizes and bitmaps.
+
+    ``tiles`` has (sig, u, doc, component, n): the members of tiles with several components, each with the least and the number
+    of its tile's members.  Near copies share hundreds of tiles, most of them with the same least member, so tiles
+    are dealt by that: a pair is met, tested and reported once for all of them, and each bitmap travels once
+    per least member instead of once per tile.  A least member with very many rows has its tiles dealt over
+    several groups; a tile of more than TILE members is cut into blocks, each pair of which is a group.
+    """
+    load = tiles.where(F.col("n") <= TILE).groupBy("u").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("parts"))
+    small = tiles.where(F.col("n") <= TILE).join(load, "u").select(
+        F.lit(0).alias("kind"), F.col("u").alias("a"), F.pmod(F.xxhash64("sig"), F.col("parts")).alias("b"), "sig", "doc", "component")
+    blocks = F.ceil(F.col("n") / TILE)
+    large = tiles.where(F.col("n") > TILE).withColumn("i", F.pmod(F.xxhash64("doc"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    large = large.select(F.lit(1).alias("kind"), F.col("sig").alias("a"), (F.least("i", "j") * blocks + F.greatest("i", "j")).alias("b"), "sig", "doc", "component")
+    rows = small.unionByName(large)
+    key = ["kind", "a", "b"]
+    facts = rows.select(*key, "doc").distinct().join(nodes.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc").select(*key, "doc", "n", "bits")
+
+    def test(group: pd.DataFrame) -> pd.DataFrame:
+        known = group[group["bits"].notna()].drop_duplicates("doc").sort_values("doc")
+        member = group[group["bits"].isna()].sort_values("sig", kind="stable")
+        docs, size = known["doc"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
+        out = pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        if len(docs) < 2:
+            return out
+        bits = np.stack(known["bits"].to_list()).astype(np.int64).view(np.uint64)
+        component, place = np.zeros(len(docs), np.int64), np.searchsorted(docs, member["doc"].to_numpy(np.int64))
+        component[place] = member["component"].to_numpy(np.int64)
+        sig = member["sig"].to_numpy(np.int64)
+        tiles = np.split(place, np.flatnonzero(sig[1:] != sig[:-1]) + 1)
+        i, j = meeting([np.unique(t) for t in tiles], component)
+        near = np.minimum(size[i], size[j]) * den >= np.maximum(size[i], size[j]) * num
+        i, j = i[near], j[near]
+        kept = []
+        for at in range(0, len(i), 100_000):
+            p, q = i[at : at + 100_000], j[at : at + 100_000]
+            apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+            kept.append(at + np.flatnonzero(apart * (den + num) <= (size[p] + size[q]) * (den - num)))
+        kept = np.concatenate(kept) if kept else np.empty(0, np.int64)
+        return pd.DataFrame({"u": docs[i[kept]], "v": docs[j[kept]]})
+
+    empty = lambda df, kinds: df.select(*key, *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+    kinds = {"sig": "long", "doc": "long", "component": "long", "n": "long", "bits": "array<long>"}
+    return empty(rows, kinds).unionByName(empty(facts, kinds)).groupBy(*key).applyInPandas(test, "u long, v long").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold, from whole texts.
 
@@ -185,9 +255,9 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     2. Tiles: sets that link agree in one of k hash ranges of their size band (see ``ranges``), so every
        link lies inside a (band, range, content) tile.  A tile's members are paired with its least one;
        pairs that pass sizes and bitmaps are verified on whole texts, and give first components.
-    3. In tiles that still hold several components, all pairs between components are tested by bitmaps, in
-       tiles of at most TILE by TILE members, and survivors are verified, so no link is lost.  Pairs inside
-       a component need no test, as they can't change it.
+    3. In tiles that still hold several components, all pairs between components are tested by bitmaps (see
+       ``open_pairs``), and survivors are verified, so no link is lost.  Pairs inside a component need no test, as
+       they can't change it.
 
     Texts without words have no shingles and no links.  A null text is empty.  Rows of one doc_id count as
     one document with the links of all; rows with a null doc_id link with nothing and have a null
@@ -218,20 +288,9 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     tested = staged(may(stars), "jaccard-tested")
     links = staged(equal.unionByName(verified(known, tested, words, num, den)), "jaccard-links")
     found = staged(components(links), "jaccard-components")
-    members = shared.select("sig", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    several = members.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("sig")
-    members = staged(members.join(several, "sig", "left_semi"), "jaccard-open")
-    # A pair with many common tiles is tested in the first: at any tile, a smaller common one among the
-    # LEADS smallest of both tells that it was there already.
-    leads = members.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LEADS).alias("lead"))
-    rest = staged(members.join(leads, "doc").join(nodes.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc"), "jaccard-open")
-    place = F.row_number().over(tile.orderBy("component", "doc"))
-    count = F.count("*").over(tile)
-    cut = rest.withColumn("block", F.floor((place - 1) / TILE)).withColumn("last", F.floor((count - 1) / TILE))
-    left = cut.select("sig", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("doc").alias("u"), F.struct("n", "bits", "component", "lead").alias("a"))
-    right = cut.select("sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("doc").alias("v"), F.struct("n", "bits", "component", "lead").alias("b"))
-    met = F.exists(F.array_intersect("a.lead", "b.lead"), lambda x: x < F.col("sig"))
-    pairs = left.join(right, ["sig", "i", "j"]).where((F.col("a.component") < F.col("b.component")) & may_link("a", "b", num, den) & ~met).select("u", "v").distinct()
+    members = shared.select("sig", "doc", "u").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    several = members.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("n")).where("a < z").select("sig", "n")
+    pairs = open_pairs(staged(members.join(several, "sig"), "jaccard-open"), nodes, num, den)
     more = verified(known, pairs.join(tested, ["u", "v"], "left_anti"), words, num, den)
     found = components(links.unionByName(more))
 

@@ -339,6 +339,7 @@ def brute_components(rows):
 def test_components_equal_brute_force(spark, make, words, monkeypatch, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
     monkeypatch.setattr(jaccard, "HUB", 4)
+    monkeypatch.setattr(jaccard, "TOGETHER", 30 * tile)
     rng, rows = random.Random(11), []
     for family in range(22):
         base = words(rng.choice([5, 9, 14, 25, 40, 80, 160, 700]), 1000 + family)
@@ -357,6 +358,17 @@ def test_components_equal_brute_force(spark, make, words, monkeypatch, tile):
     assert sorted(map(str, kept)) == sorted([str(d) for d in {r[2] for r in brute_components(rows) if r[0] is not None}] + ["None", "None"])
 
 
+def test_meeting_pairs_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (2, 5, 40, 300):
+        component = rng.integers(0, max(2, n // 3), n)
+        tiles = [rng.choice(n, int(rng.integers(1, min(n, 25) + 1)), replace=False) for _ in range(60)]
+        want = sorted({(int(min(p, q)), int(max(p, q))) for t in tiles for p in t for q in t if component[p] != component[q]})
+        for matrix in (0, n):
+            i, j = jaccard.meeting(tiles, component, matrix)
+            assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
 def test_a_null_id_stands_for_no_copy(spark, make, words):
     text = " ".join(words(30, 1))
     got = {(r.doc_id, r.component_id) for r in jaccard.join(make([(None, text), (8, text), (5, text), (9, text + " tail")], 1)).collect()}
