@@ -41,17 +41,90 @@ def replay(df: DataFrame, name: str, key: str, batches: int = 4, rows_per_batch:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def with_end(df: DataFrame, ts: str, after_ms: int, **values: object) -> DataFrame:
+    """``df`` and one last row, ``after_ms`` behind the newest one, with ``values`` and else NULL.
+
+    On a stream that goes on, later rows of any key move the watermark; a finite table needs such a row for the
+    windows and timers that are still open.  Its key should be none of the table's.
+    """
+    end = df.agg((F.max(ts) + F.expr(f"{after_ms}")).cast(df.schema[ts].dataType).alias(ts))
+    return df.unionByName(end.select(ts, *[F.lit(v).alias(k) for k, v in values.items()]), allowMissingColumns=True)
+
+
+def split_late(stream: DataFrame, name: str, ts: str, lateness_ms: int) -> tuple[str, str]:
+    """Route each micro-batch's rows by the mark that the batches before it have set: (on-time folder, late folder).
+
+    The mark is the newest ``ts`` of earlier batches less ``lateness_ms``.  Rows at or behind it would be dropped by
+    any plan with that watermark, so they go to a folder of their own, for ``merge_late``.  Marks are stored beside
+    the rows, one per batch, so a batch that is repeated after a failure is split as before.
+    """
+    spark = stream.sparkSession
+    root, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
+
+    def mark(batch_id: int) -> int | None:
+        if batch_id == 0:
+            return None
+        return spark.read.parquet(f"{root}/marks/_batch={batch_id - 1}").first()["mark"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        old = mark(batch_id)
+        batch = batch.persist()
+        newest = batch.agg(F.max(ts)).first()[0]
+        late = F.lit(False) if old is None else F.col(ts) <= old
+        late = F.coalesce(late, F.lit(False))
+        batch.filter(~late).write.mode("overwrite").parquet(f"{root}/on-time/_batch={batch_id}")
+        batch.filter(late).write.mode("overwrite").parquet(f"{root}/late/_batch={batch_id}")
+        marks = [m for m in (old, None if newest is None else newest - lateness_ms) if m is not None]
+        spark.createDataFrame([(max(marks, default=None),)], "mark long").coalesce(1).write.mode("overwrite").parquet(f"{root}/marks/_batch={batch_id}")
+        batch.unpersist()
+
+    _finish(stream.writeStream.foreachBatch(write).option("checkpointLocation", state))
+    return f"{root}/on-time", f"{root}/late"
+
+
+def merge_late(spark: SparkSession, table: str, late: DataFrame, batch: str, keys: list[str], ts: str) -> DataFrame:
+    """Add the rows of ``late`` that the table under ``table`` doesn't have yet, as its part ``_batch=batch``.
+
+    Only the part of the table in the late rows' span of time is read.  The part is replaced as a whole and never
+    compared with itself, so merging the same batch again changes nothing.
+    """
+    span = late.agg(F.min(ts).alias("low"), F.max(ts).alias("high")).first()
+    whole = spark.read.option("basePath", table).parquet(f"{table}/_batch=*")
+    if span["low"] is not None:
+        near = whole.filter((F.col("_batch").cast("string") != batch) & F.col(ts).between(span["low"], span["high"])).select(*keys)
+        same = None
+        for k in keys:
+            one = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+            same = one if same is None else same & one
+        new = late.dropDuplicates(keys).alias("l").join(near.alias("r"), same, "left_anti")
+        new.select(*[c for c in whole.columns if c != "_batch"]).write.mode("overwrite").parquet(f"{table}/_batch={batch}")
+    return spark.read.option("basePath", table).parquet(f"{table}/_batch=*")
+
+
+def folder_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """The parts of a sink's folder, in the order of their batches, as a stream."""
+    schema = spark.read.option("basePath", path).parquet(f"{path}/_batch=*").drop("_batch").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}/_batch=*")
+
+
+def _finish(writer) -> None:  # noqa: ANN001
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def drain(
-    stream: DataFrame, name: str, *, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None
+    stream: DataFrame, name: str, *, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None,
+    paths: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Process everything available and return the sink's table.
 
+    ``paths`` names the sink and the checkpoint, so that a later call goes on where this one ended.
+
     Each micro-batch overwrites its own folder, so a batch repeated after a
     failure replaces itself.  ``_batch`` tells update results apart.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    out, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
+    out, state = paths or (fresh_path(spark, name), fresh_path(spark, f"{name}-state"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         result = transform(batch) if transform else batch
