@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels import Ordering, attach, scan, with_chunks
+from ..kernels.groups import map_runs
 from ..kernels.order import CHUNK, row_numbers
 from ..schema import ACC, GRAVITY, GYRO, IMU, LABEL_GAP_MS, SENSOR_CHUNK_MS, VALID_RATES_HZ
 from ..session import staged
@@ -383,43 +384,83 @@ def lowpass_taps(up: int, down: int) -> np.ndarray:
     return h / h.sum() * up
 
 
-def resample(rows: DataFrame, cols: Sequence[str], up: int, down: int) -> DataFrame:
-    """Polyphase rate change of numbered samples (session_id, rn, n_rows).
+#: Output rows that are filtered together.
+BLOCK = 2400
+
+
+def polyphase(rows: DataFrame, cols: Sequence[str], *, level: bool = False) -> DataFrame:
+    """Rate change of numbered samples (session_id, rn, n_rows) by each session's own ``up`` / ``down``: (session_id, m, cols).
 
-    Each input adds to the few outputs its filter reaches; the output sample is a sum.
+    Outputs are made in blocks (overlap-save): a sample goes to its block and, as a halo of the filter's
+    length, to the neighbours it reaches, so it is hardly copied.  A block needs its rows alone.  With ``level`` an
+    output at the ends, where part of the filter has no data, is divided by the weights used.
     """
-    taps = lowpass_taps(up, down)
-    half = len(taps) // 2
-    lit = "array(" + ", ".join(f"{float(t)!r}D" for t in taps) + ")"
+    half = "10 * greatest(up, down)"
     reach = rows.selectExpr(
-        "session_id", "rn", "n_rows", *cols, f"greatest(0L, ceil((rn * {up} - {half}) / {down})) as _a",
-        f"least(ceil(n_rows * {up} / {down}) - 1, floor((rn * {up} + {half}) / {down})) as _b",
+        "session_id", "rn", "n_rows", "cast(up as int) as up", "cast(down as int) as down", *[f"cast({c} as double) as {c}" for c in cols],
+        f"greatest(0L, ceil((rn * up - {half}) / down)) as _a", f"least(ceil(n_rows * up / down) - 1, floor((rn * up + {half}) / down)) as _b",
     ).filter("_a <= _b")
-    spread = reach.selectExpr("session_id", "rn", *cols, "explode(sequence(_a, _b)) as m").selectExpr(
-        "session_id", "m", *cols, f"{lit}[cast(m * {down} - rn * {up} + {half} as int)] as _w"
-    )
-    return spread.groupBy("session_id", "m").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in cols])
+    blocks = reach.selectExpr("session_id", "rn", "n_rows", "up", "down", *cols, f"explode(sequence(_a div {BLOCK}, _b div {BLOCK})) as block")
+
+    def filtered(g: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray]:
+        parts: dict[str, list[np.ndarray]] = {c: [] for c in ("session_id", "m", *cols)}
+        x = np.stack([g[c] for c in cols], axis=1)
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+            up, down, first, rows_in = int(g["up"][i]), int(g["down"][i]), int(g["rn"][i]), j - i
+            taps = lowpass_taps(up, down)
+            reach_of = len(taps) // 2
+            m = np.arange(int(g["block"][i]) * BLOCK, min((int(g["block"][i]) + 1) * BLOCK, -(-int(g["n_rows"][i]) * up // down)))
+            n = -((reach_of - m * down) // up)[:, None] + np.arange(2 * reach_of // up + 2)
+            tap = m[:, None] * down - n * up + reach_of
+            inside = (tap >= 0) & (tap < len(taps)) & (n >= first) & (n < first + rows_in)
+            weight = np.where(inside, taps[np.clip(tap, 0, len(taps) - 1)], 0.0)
+            y = np.einsum("mk,mkc->mc", weight, x[i + np.clip(n - first, 0, rows_in - 1)])
+            if level:
+                y = y / weight.sum(axis=1)[:, None]
+            parts["session_id"].append(np.repeat(g["session_id"][i : i + 1], len(m)))
+            parts["m"].append(m)
+            for k, c in enumerate(cols):
+                parts[c].append(y[:, k])
+        return {c: np.concatenate(v) for c, v in parts.items()}
+
+    kind = rows.schema["session_id"].dataType.simpleString()
+    return map_runs(blocks, ["session_id", "block"], ["rn"], filtered, f"session_id {kind}, m bigint, " + ", ".join(f"{c} double" for c in cols))
+
+
+def resample(rows: DataFrame, cols: Sequence[str], up: int, down: int) -> DataFrame:
+    """``polyphase`` with one ratio for all sessions."""
+    return polyphase(rows.withColumn("up", F.lit(up)).withColumn("down", F.lit(down)), cols)
 
 
 RESAMPLE_30HZ = {50: (3, 5), 100: (3, 10)}
 
 
 def resampled_windows(
-    samples: DataFrame, source_hz: int, *, win: int = 150, stride: int = 75, max_gap_ms: float = LABEL_GAP_MS, majority: float = 0.5,
+    samples: DataFrame, source_hz: int | DataFrame, *, win: int = 150, stride: int = 75, max_gap_ms: float = LABEL_GAP_MS, majority: float = 0.5,
     width: int = SENSOR_CHUNK_MS, max_rows: int | None = 1_000_000,
 ) -> DataFrame:
-    """30 Hz acceleration windows with nearest-sample labels."""
-    up, down = RESAMPLE_30HZ[source_hz]
+    """30 Hz acceleration windows with nearest-sample labels.
+
+    ``source_hz`` is one rate, or a table (session_id, source_hz) of measured ones, each taken for the valid rate
+    nearest to it.  A session that has none, or one off by over a fifth, is an error.
+    """
+    if isinstance(source_hz, DataFrame):
+        rates = source_hz.selectExpr("session_id", f"{_snapped('source_hz')} as source_hz")
+    else:
+        rates = samples.select("session_id").distinct().withColumn("source_hz", F.lit(float(source_hz)))
+    ratio = lambda i: "case " + " ".join(f"when source_hz = {hz} then {r[i]}" for hz, r in RESAMPLE_30HZ.items()) + f" else {_refused('no ratio to 30 Hz', 'int')} end"
     clean = samples.filter("ax is not null and ay is not null and az is not null and ts is not null")
     clean = close_labels(clean, "label_writing", max_gap_ms=max_gap_ms, width=width, max_rows=max_rows)
-    rows = staged(number_samples(staged(clean, "closed-labels"), fs_hz=1.0, width=width, max_rows=max_rows), "numbered")
-    signal = resample(rows, ACC, up, down)
-    span = rows.groupBy("session_id").agg(F.min("ts").alias("_t0"), F.max("n_rows").alias("_n"))
+    rows = number_samples(staged(clean, "closed-labels"), fs_hz=1.0, width=width, max_rows=max_rows)
+    rows = attach(rows, rates, ["session_id"], "left").selectExpr("*", f"{ratio(0)} as up", f"{ratio(1)} as down")
+    rows = staged(rows, "numbered")
+    signal = polyphase(rows, ACC)
+    span = rows.groupBy("session_id").agg(F.min("ts").alias("_t0"), F.max("n_rows").alias("_n"), F.max("source_hz").alias("_hz"), F.max("up").alias("_up"), F.max("down").alias("_down"))
     base = attach(signal, span, ["session_id"], spread="m").selectExpr(
-        "*", f"least(cast(bround(m * {source_hz} / 30.0D) as bigint), _n - 1) as rn"
+        "*", "least(cast(bround(m * _hz / 30.0D) as bigint), _n - 1) as rn"
     ).join(rows.selectExpr("session_id", "rn", "label_writing_closed as _l"), ["session_id", "rn"])
     out = base.selectExpr(
-        "session_id", "m as rn", f"ceil(_n * {up} / {down}) as n_rows", "_t0 + m * (1000.0D / 30) as t", "1.0D as fs_hz", *ACC, "_l"
+        "session_id", "m as rn", "ceil(_n * _up / _down) as n_rows", "_t0 + m * (1000.0D / 30) as t", "1.0D as fs_hz", *ACC, "_l"
     )
     w = to_windows(out, win, stride)
     val = F.struct("rn", *[F.col(c).cast("float").alias(c) for c in ACC])
@@ -431,6 +472,16 @@ def resampled_windows(
     )
 
 
+def _refused(why: str, kind: str) -> str:
+    return f"cast(raise_error(concat('{why}: ', coalesce(cast(source_hz as string), 'unknown'))) as {kind})"
+
+
+def _snapped(hz: str) -> str:
+    """The nearest valid rate where it is off by a fifth at most, else the rate itself."""
+    near = " ".join(f"when abs({hz} - {r}) = least({', '.join(f'abs({hz} - {v})' for v in VALID_RATES_HZ)}) and abs({hz} - {r}) / {r} <= 0.2D then {r}D" for r in VALID_RATES_HZ)
+    return f"case {near} else {hz} end"
+
+
 def decimation_factor(source_hz: float, target_hz: float) -> int:
     """Whole factor after snapping the measured rate to a valid one; 1 means nothing to do."""
     nominal = min(VALID_RATES_HZ, key=lambda r: abs(r - source_hz))
@@ -444,34 +495,39 @@ def decimation_factor(source_hz: float, target_hz: float) -> int:
     return round(ratio)
 
 
+def decimation_factors(rates: DataFrame, target_hz: float) -> DataFrame:
+    """(session_id, factor) from (session_id, source_hz), by the rule of ``decimation_factor``; a rate without one is an error."""
+    at = f"cast({float(target_hz)!r} as double)"
+    snapped = rates.selectExpr("session_id", f"{_snapped('source_hz')} as source_hz")
+    whole = f"abs(source_hz / {at} - round(source_hz / {at})) <= 1e-3D and round(source_hz / {at}) >= 2"
+    return snapped.selectExpr(
+        "session_id", f"case when abs(source_hz - {at}) < 0.5D then 1 when {whole} then cast(round(source_hz / {at}) as int) else {_refused('no whole decimation factor', 'int')} end as factor")
+
+
 def decimate(
-    samples: DataFrame, factor: int, cols: Sequence[str] = IMU, *, target_hz: float | None = None, width: int = SENSOR_CHUNK_MS,
-    max_rows: int | None = 1_000_000,
+    samples: DataFrame, factor: int | DataFrame, cols: Sequence[str] = IMU, *, target_hz: float | None = None, keep_gravity: bool = False,
+    width: int = SENSOR_CHUNK_MS, max_rows: int | None = 1_000_000,
 ) -> DataFrame:
     """Anti-aliased thinning: symmetric low-pass per axis, every ``factor``-th row's other columns.
 
-    Missing values take the session mean; gravity is dropped.
+    ``factor`` is one number, or a table (session_id, factor).  Missing values take the session mean.  Gravity is
+    filtered with ``keep_gravity`` and else dropped.  Sessions of factor 1 stay as they are, missing values too.
     """
-    cols = [c for c in cols if c in samples.columns]
+    cols = [c for c in (*cols, *(GRAVITY if keep_gravity else ())) if c in samples.columns]
     other = [c for c in samples.columns if c not in (*cols, *GRAVITY, "session_id", CHUNK)]
-    mean = samples.groupBy("session_id").agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"_m_{c}") for c in cols])
-    filled = attach(samples, mean, ["session_id"]).withColumns({c: F.coalesce(c, f"_m_{c}") for c in cols}).drop(*[f"_m_{c}" for c in cols])
-    rows = number_samples(filled, fs_hz=1.0, width=width, max_rows=max_rows)
-    taps = lowpass_taps(1, factor)
-    half = len(taps) // 2
-    lit = "array(" + ", ".join(f"{float(t)!r}D" for t in taps) + ")"
-    spread = rows.selectExpr(
-        "*", f"explode(sequence(greatest(0L, ceil((rn - {half}) / {factor})), least(floor((n_rows - 1) / {factor}), floor((rn + {half}) / {factor})))) as m"
-    ).selectExpr("*", f"{lit}[cast(m * {factor} - rn + {half} as int)] as _w")
-    # At the ends part of the filter has no data: dividing by the weights used keeps the level.
-    out = spread.groupBy("session_id", "m").agg(
-        *[(F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(c) for c in cols],
-        F.max(F.when(F.col("rn") == F.col("m") * factor, F.struct(*other))).alias("_o"),
-    )
-    out = out.select("session_id", *[F.col(f"_o.{c}").alias(c) for c in other], *cols)
+    kept = samples.select("session_id", *other, *cols, *([CHUNK] if CHUNK in samples.columns else []))
+    factors = factor if isinstance(factor, DataFrame) else kept.select("session_id").distinct().withColumn("factor", F.lit(factor))
+    marked = attach(kept, factors.withColumnRenamed("factor", "down"), ["session_id"])
+    same, thinned = marked.filter("down = 1").select("session_id", *other, *cols), marked.filter("down > 1")
+    mean = thinned.groupBy("session_id").agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"_m_{c}") for c in cols])
+    filled = attach(thinned, mean, ["session_id"]).withColumns({c: F.coalesce(c, f"_m_{c}") for c in cols}).drop(*[f"_m_{c}" for c in cols])
+    rows = staged(number_samples(filled, fs_hz=1.0, width=width, max_rows=max_rows).withColumn("up", F.lit(1)), "numbered")
+    signal = polyphase(rows, cols, level=True)
+    picked = rows.filter("rn % down = 0").select("session_id", F.expr("rn div down").alias("m"), *other)
+    out = picked.join(signal, ["session_id", "m"]).select("session_id", *other, *cols)
     if "sample_rate_hz" in out.columns and target_hz is not None:
         out = out.withColumn("sample_rate_hz", F.lit(float(target_hz)))
-    return out
+    return out.unionByName(same)
 
 
 # ── sampling, reshaping, augmentation, orientation ──────────────────────────

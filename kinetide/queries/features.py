@@ -146,28 +146,65 @@ def _(spark, sf):
     return w.selectExpr("session_id", "k", "cast(size(x) as bigint) as n", "round(t_center_ms, 3) as t_center_ms", f"round({chk}, 3) as checksum")
 
 
-TAPS = ft.lowpass_taps(3, 5)
-TAP_SQL = "[" + ", ".join(f"{float(t)!r}::DOUBLE" for t in TAPS) + "]"
+def tap_sql(up, down):
+    return "[" + ", ".join(f"{float(t)!r}::DOUBLE" for t in ft.lowpass_taps(up, down)) + "]"
 
 
-@query("f18_resample_30hz", "WITH" + WATCH + f""", num AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, _ord) - 1 AS rn, count(*) OVER (PARTITION BY session_id) AS n FROM watch), o AS (
-  SELECT session_id, unnest(range(CAST(ceil(n * 3 / 5.0) AS BIGINT))) AS m FROM (SELECT DISTINCT session_id, n FROM num))
-  SELECT o.session_id, m, round(sum(ax * {TAP_SQL}[CAST(m * 5 - rn * 3 + {len(TAPS) // 2} + 1 AS INT)]), 5) AS ax FROM o JOIN num ON num.session_id = o.session_id AND m * 5 - rn * 3 BETWEEN {-(len(TAPS) // 2)} AND {len(TAPS) // 2} GROUP BY 1, 2""")
+SIX = ("ax", "ay", "az", "rx", "ry", "rz")
+# Every third session at 100 Hz, the others at 50, as measured a little off.
+RATES = "if(session_id % 3 = 0, 99.5D, 50.4D)"
+NUM = ", num AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, _ord) - 1 AS rn, count(*) OVER (PARTITION BY session_id) AS n FROM watch)"
+# Outputs of one ratio: each the sum of the samples that its filter reaches.
+CONV = """, o{name} AS (SELECT session_id, unnest(range(CAST(ceil(n * {up} / {down}.0) AS BIGINT))) AS m FROM (SELECT DISTINCT session_id, n FROM num WHERE {which})), y{name} AS (
+  SELECT o{name}.session_id, m, max(n) AS n, min(ts) AS low, {sums} FROM o{name} JOIN num ON num.session_id = o{name}.session_id AND m * {down} - rn * {up} BETWEEN -{half} AND {half} GROUP BY 1, 2)"""
+
+
+def conv(name, up, down, which, cols=SIX, level=False):
+    half = 10 * max(up, down)
+    tap = f"{tap_sql(up, down)}[CAST(m * {down} - rn * {up} + {half} + 1 AS INT)]"
+    sums = ", ".join(f"sum({c} * {tap}){f' / sum({tap})' if level else ''} AS {c}" for c in cols)
+    return CONV.format(name=name, up=up, down=down, which=which, half=half, sums=sums)
+
+
+BOTH = conv("a", 3, 5, "session_id % 3 <> 0") + conv("b", 3, 10, "session_id % 3 = 0") + ", y AS (SELECT * FROM ya UNION ALL SELECT * FROM yb)"
+
+
+@query("f18_resample_30hz", "WITH" + WATCH + NUM + BOTH + " SELECT session_id, m, " + ", ".join(f"round({c}, 5) AS {c}" for c in SIX) + " FROM y")
 def _(spark, sf):
+    """All channels of sessions of both rates at 30 Hz."""
     rows = ft.number_samples(watch(spark, sf), fs_hz=1.0, width=WIDTH)
-    return r6(ft.resample(rows, ["ax"], 3, 5), "ax", d=5)
+    rows = rows.selectExpr("*", "3 as up", "if(session_id % 3 = 0, 10, 5) as down")
+    return r6(ft.polyphase(rows, SIX), *SIX, d=5)
+
+
+CLOSED = CLOSE[len(SAMPLES):] + f""", closed AS (SELECT _ord, CASE WHEN ru.run > 0 AND ru.run < last AND l = 0 AND t1 - t0 <= {12 * HOUR} THEN 1 - label ELSE label END AS label
+  FROM rr JOIN ru ON ru.session_id = rr.session_id AND ru.run = rr.run)"""
 
 
-@query("f18_resampled_windows")
+@query("f18_resampled_windows", "WITH" + WATCH + CLOSED + NUM + BOTH + """, s AS (
+  SELECT session_id, min(ts) AS t0, max(n) AS n, CASE WHEN session_id % 3 = 0 THEN 100.0::DOUBLE ELSE 50.0::DOUBLE END AS hz FROM num GROUP BY session_id), l AS (
+  SELECT y.session_id, y.m, t0 + y.m * (1000.0::DOUBLE / 30) AS t, ax, ay, az, least(CAST(round_even(y.m * hz / 30, 0) AS BIGINT), s.n - 1) AS rn, count(*) OVER (PARTITION BY y.session_id) AS n30 FROM y JOIN s USING (session_id)), c AS (
+  SELECT l.*, closed.label AS lab FROM l JOIN num ON num.session_id = l.session_id AND num.rn = l.rn JOIN closed ON closed._ord = num._ord), w AS (
+  SELECT c.*, k.k FROM c JOIN (SELECT session_id, unnest(range(0, (n30 - 12) // 6 + 1)) AS k FROM (SELECT DISTINCT session_id, n30 FROM c WHERE n30 >= 12)) k ON k.session_id = c.session_id AND m BETWEEN k.k * 6 AND k.k * 6 + 11)
+  SELECT session_id, k, count(*) AS n, round(avg(t), 1) AS t_center_ms, CAST(avg(lab) >= 0.5 AS INT) AS label, """ + ", ".join(f"round(sum(CAST({c} AS FLOAT)::DOUBLE * (m - k * 6 + 1)), 3) AS {c}" for c in ("ax", "ay", "az")) + " FROM w GROUP BY 1, 2")
 def _(spark, sf):
-    w = ft.resampled_windows(merged(spark, sf), 50, win=12, stride=6, max_gap_ms=12 * HOUR, width=WIDTH)
-    return w.select("session_id", "k", F.size("x").alias("channels"), F.size(F.col("x")[0]).alias("n"), rnd(F.col("t_center_ms"), 3).alias("t_center_ms"), "label")
+    """Windows over both rates: every value of the three channels by its place."""
+    m = merged(spark, sf)
+    w = ft.resampled_windows(m, m.select("session_id").distinct().selectExpr("session_id", f"{RATES} as source_hz"), win=12, stride=6, max_gap_ms=12 * HOUR, width=WIDTH)
+    place = "round(aggregate(transform(x[{0}], (v, i) -> (i + 1) * cast(v as double)), 0.0D, (a, v) -> a + v), 3) as {1}"
+    return w.selectExpr("session_id", "k", "cast(size(x[0]) as bigint) as n", "round(t_center_ms, 1) as t_center_ms", "label", *[place.format(i, c) for i, c in enumerate(("ax", "ay", "az"))])
 
 
-@query("f19_decimation", "WITH" + SAMPLES + """, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, _ord) - 1 AS rn FROM samples) SELECT session_id, _ord, ts FROM n WHERE rn % 2 = 0""")
+@query("f19_decimation", "WITH" + WATCH + NUM + conv("d", 1, 2, "session_id % 3 = 0", (*SIX, "gx", "gy", "gz"), True) + """
+  SELECT d.session_id, _ord, ts, 50.0::DOUBLE AS sample_rate_hz, """ + ", ".join(f"round(d.{c}, 5) AS {c}" for c in (*SIX, "gx", "gy", "gz")) + """ FROM yd d JOIN num ON num.session_id = d.session_id AND num.rn = 2 * d.m
+  UNION ALL SELECT session_id, _ord, ts, 50.4::DOUBLE, """ + ", ".join(f"round({c}, 5)" for c in (*SIX, "gx", "gy", "gz")) + " FROM watch WHERE session_id % 3 <> 0")
 def _(spark, sf):
-    w = watch(spark, sf).withColumn("sample_rate_hz", F.lit(100.0))
-    return ft.decimate(w, ft.decimation_factor(99.5, 50.0), target_hz=50.0, width=WIDTH).select("session_id", "_ord", "ts")
+    """Sessions at 100 Hz to 50, with gravity; sessions at 50 stay as they are."""
+    w = watch(spark, sf).withColumn("sample_rate_hz", F.expr(RATES))
+    factors = ft.decimation_factors(w.groupBy("session_id").agg(F.max("sample_rate_hz").alias("source_hz")), 50.0)
+    nine = (*SIX, "gx", "gy", "gz")
+    out = ft.decimate(w, factors, target_hz=50.0, keep_gravity=True, width=WIDTH).select("session_id", "_ord", "ts", "sample_rate_hz", *nine)
+    return r6(out, *nine, d=5)
 
 
 def raw6(spark, sf):
