@@ -17,9 +17,9 @@ from .common import pieces, staged, texts
 from .graph import components
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
-BITS, TILE, HUB = 1024, 256, 128
-#: Rows of tiles that are tested together, and documents up to which a matrix marks the pairs that meet.
-TOGETHER, MATRIX = 250_000, 4096
+BITS, TILE, HUB = 1024, 2048, 128
+#: Rows of tiles that are tested together, pairs up to which those that meet are listed, and marks of a matrix for more.
+TOGETHER, LISTED, MARKS = 250_000, 4_000_000, 16_000_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,25 +156,30 @@ def may_link(a: str, b: str, num: int, den: int) -> Column:
     return (small * den >= large * num) & (bits * (den + num) <= sizes * (den - num))
 
 
-def meeting(tiles: list[np.ndarray], component: np.ndarray, matrix: int = MATRIX) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs (i < j) of different components that meet in any of the tiles (arrays of numbers)."""
+def meeting(tiles: list[np.ndarray], component: np.ndarray, listed: int = LISTED, marks: int = MARKS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (i < j) of different components that meet in any of the tiles (sorted arrays of numbers).
+
+    Few pairs are listed and sorted; many are marked in a matrix, of as many rows at a time as ``marks`` allows.
+    """
     n = len(component)
-    if n <= matrix:
-        met = np.zeros((n, n), bool)
+    if sum(len(x) * len(x) for x in tiles) <= listed:
+        codes = [np.empty(0, np.int64)]
         for x in tiles:
-            met[np.ix_(x, x)] = True
-        i, j = np.nonzero(np.triu(met, 1))
-    else:
-        codes, waiting = np.empty(0, np.int64), []
-        for k, x in enumerate(tiles, 1):
             a, b = np.triu_indices(len(x), 1)
-            x = np.sort(x)
-            waiting.append(x[a] * n + x[b])
-            if k == len(tiles) or sum(map(len, waiting)) > 4_000_000:
-                codes, waiting = np.unique(np.concatenate([codes, *waiting])), []
-        i, j = np.divmod(codes, n)
-    apart = component[i] != component[j]
-    return i[apart], j[apart]
+            codes.append(x[a] * n + x[b])
+        i, j = np.divmod(np.unique(np.concatenate(codes)), n)
+        apart = component[i] != component[j]
+        return i[apart], j[apart]
+    height, found = max(1, marks // n), []
+    for start in range(0, n, height):
+        met = np.zeros((min(height, n - start), n), bool)
+        for x in tiles:
+            low, high = np.searchsorted(x, (start, start + height))
+            met[np.ix_(x[low:high] - start, x[low:])] = True
+        i, j = np.nonzero(met)
+        apart = (i + start < j) & (component[i + start] != component[j])
+        found.append((i[apart] + start, j[apart]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def open_pairs(tiles: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:

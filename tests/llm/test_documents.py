@@ -335,7 +335,7 @@ def brute_components(rows):
     return sorted(((d, len(s), None if d is None else root(d)) for d, s in sets), key=str)
 
 
-@pytest.mark.parametrize("tile", [256, 3])
+@pytest.mark.parametrize("tile", [2048, 3])
 def test_components_equal_brute_force(spark, make, words, monkeypatch, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
     monkeypatch.setattr(jaccard, "HUB", 4)
@@ -362,10 +362,10 @@ def test_meeting_pairs_equal_brute_force():
     rng = np.random.default_rng(3)
     for n in (2, 5, 40, 300):
         component = rng.integers(0, max(2, n // 3), n)
-        tiles = [rng.choice(n, int(rng.integers(1, min(n, 25) + 1)), replace=False) for _ in range(60)]
+        tiles = [np.sort(rng.choice(n, int(rng.integers(1, min(n, 25) + 1)), replace=False)) for _ in range(60)]
         want = sorted({(int(min(p, q)), int(max(p, q))) for t in tiles for p in t for q in t if component[p] != component[q]})
-        for matrix in (0, n):
-            i, j = jaccard.meeting(tiles, component, matrix)
+        for limits in ((10**9, 1), (0, 10**9), (0, 3 * n), (0, 1)):
+            i, j = jaccard.meeting(tiles, component, *limits)
             assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == want
 
 
