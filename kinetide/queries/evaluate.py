@@ -327,20 +327,23 @@ def _(spark, sf):
 # ── scaling and folds ───────────────────────────────────────────────────────
 
 
-@query("e19_zscore_per_session", "WITH" + WATCH + """
-  SELECT _ord, round((ax - avg(ax) OVER w) / coalesce(nullif(stddev_samp(ax) OVER w, 0), 1), 6) AS ax, round((ry - avg(ry) OVER w) / coalesce(nullif(stddev_samp(ry) OVER w, 0), 1), 6) AS ry,
-         0.0::DOUBLE AS gz FROM watch WINDOW w AS (PARTITION BY session_id)""")
+NINE = ("ax", "ay", "az", "rx", "ry", "rz", "gx", "gy", "gz")
+
+
+@query("e19_zscore_per_session", "WITH" + WATCH + " SELECT _ord, " + ", ".join(
+    f"round(({c} - avg({c}) OVER w) / coalesce(nullif(stddev_samp({c}) OVER w, 0), 1), 6) AS {c}" for c in NINE) + " FROM watch WINDOW w AS (PARTITION BY session_id)")
 def _(spark, sf):
-    z = ev.zscore_per_session(watch(spark, sf), ["ax", "ry", "gz"])
-    return r6(z.select("_ord", "ax", "ry", "gz"), "ax", "ry", "gz")
+    """All channels; gz is constant and stays at zero."""
+    z = ev.zscore_per_session(watch(spark, sf), list(NINE))
+    return r6(z.select("_ord", *NINE), *NINE)
 
 
-@query("e20_pooled_zscore", "WITH" + WATCH + """, st AS (SELECT p.person_id, avg(ax) AS m, stddev_samp(ax) AS s FROM (SELECT DISTINCT person_id FROM watch) p JOIN watch w ON w.person_id <> p.person_id GROUP BY 1)
-  SELECT _ord, round((ax - m) / s, 5) AS ax FROM watch JOIN st USING (person_id)""")
+@query("e20_pooled_zscore", "WITH" + WATCH + ", st AS (SELECT p.person_id, " + ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_samp({c}), 0), 1) AS s_{c}" for c in NINE) + """ FROM (SELECT DISTINCT person_id FROM watch) p JOIN watch w ON w.person_id <> p.person_id GROUP BY 1)
+  SELECT _ord, """ + ", ".join(f"round(({c} - m_{c}) / s_{c}, 5) AS {c}" for c in NINE) + " FROM watch JOIN st USING (person_id)")
 def _(spark, sf):
     w = watch(spark, sf)
-    z = ev.apply_zscore(w, ev.pooled_stats_by_fold(w, ["ax"]), ["person_id"], ["ax"])
-    return r6(z.select("_ord", "ax"), "ax", d=5)
+    z = ev.apply_zscore(w, ev.pooled_stats_by_fold(w, list(NINE)), ["person_id"], list(NINE))
+    return r6(z.select("_ord", *NINE), *NINE, d=5)
 
 
 @query("c7_dimension_join", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
@@ -476,11 +479,11 @@ def _(spark, sf):
     return r6(r6(out.withColumn("folds", F.col("folds").cast("double")), "mean_acc", "mean_auc"), "total_sec", d=4)
 
 
-@query("d57_feature_agreement", "WITH" + WATCH + ", l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, {c} + sequence / 1000.0::DOUBLE AS y FROM watch" for c in ("ax", "ry")) + ") SELECT feature, round(max(abs(x - y)), 6) AS max_abs_diff, round(corr(x, y), 6) AS corr FROM l GROUP BY 1")
+@query("d57_feature_agreement", "WITH" + WATCH + ", l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, {c} + sequence / 1000.0::DOUBLE AS y FROM watch" for c in NINE[:8]) + ") SELECT feature, round(max(abs(x - y)), 6) AS max_abs_diff, round(corr(x, y), 6) AS corr FROM l GROUP BY 1")
 def _(spark, sf):
-    w = watch(spark, sf).select("_ord", "ax", "ry", "sequence")
-    b = w.selectExpr("_ord", "ax + sequence / 1000.0D as ax", "ry + sequence / 1000.0D as ry")
-    return r6(ev.feature_agreement(w, b, ["_ord"], ["ax", "ry"]), "max_abs_diff", "corr")
+    w = watch(spark, sf).select("_ord", *NINE[:8], "sequence")
+    b = w.selectExpr("_ord", *[f"{c} + sequence / 1000.0D as {c}" for c in NINE[:8]])
+    return r6(ev.feature_agreement(w, b, ["_ord"], NINE[:8]), "max_abs_diff", "corr")
 
 
 @query("d58_residual_correlation", "WITH" + OOF + " SELECT person_id, round(corr(proba_raw - label, proba_cal - label), 6) AS residual_corr FROM oof GROUP BY 1")

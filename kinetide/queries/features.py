@@ -8,6 +8,7 @@ from .evaluate import r6
 from .label import CLOSE
 from .registry import query
 
+SIX = ("ax", "ay", "az", "rx", "ry", "rz")
 OPTS = dict(fs_hz=8.0, width=WIDTH, max_gap_ms=12 * HOUR)
 
 
@@ -139,18 +140,18 @@ def _(spark, sf):
 # ── raw windows, sampling, reshaping ────────────────────────────────────────
 
 
-@query("f17_sequence_windows", "WITH" + WIN + " SELECT session_id, k, count(*) AS n, round(avg(ts), 3) AS t_center_ms, round(sum((rn - k * 4 + 1) * CAST(ax AS FLOAT)::DOUBLE), 3) AS checksum FROM win GROUP BY 1, 2")
+@query("f17_sequence_windows", "WITH" + WIN + " SELECT session_id, k, count(*) AS n, round(avg(ts), 3) AS t_center_ms, " + ", ".join(
+    f"round(sum((rn - k * 4 + 1) * CAST({c} AS FLOAT)::DOUBLE), 3) AS {c}" for c in SIX) + " FROM win GROUP BY 1, 2")
 def _(spark, sf):
     w = ft.sequence_windows(merged(spark, sf), seq_len=8, stride=4, width=WIDTH)
-    chk = "aggregate(transform(x, (r, i) -> (i + 1) * cast(r[0] as double)), 0.0D, (a, v) -> a + v)"
-    return w.selectExpr("session_id", "k", "cast(size(x) as bigint) as n", "round(t_center_ms, 3) as t_center_ms", f"round({chk}, 3) as checksum")
+    place = "round(aggregate(transform(x, (r, i) -> (i + 1) * cast(r[{0}] as double)), 0.0D, (a, v) -> a + v), 3) as {1}"
+    return w.selectExpr("session_id", "k", "cast(size(x) as bigint) as n", "round(t_center_ms, 3) as t_center_ms", *[place.format(i, c) for i, c in enumerate(SIX)])
 
 
 def tap_sql(up, down):
     return "[" + ", ".join(f"{float(t)!r}::DOUBLE" for t in ft.lowpass_taps(up, down)) + "]"
 
 
-SIX = ("ax", "ay", "az", "rx", "ry", "rz")
 # Every third session at 100 Hz, the others at 50, as measured a little off.
 RATES = "if(session_id % 3 = 0, 99.5D, 50.4D)"
 NUM = ", num AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, _ord) - 1 AS rn, count(*) OVER (PARTITION BY session_id) AS n FROM watch)"
@@ -230,10 +231,10 @@ def _(spark, sf):
     return out
 
 
-@query("f21_long_format", "WITH" + WIN + ", l AS (" + " UNION ALL ".join(f"SELECT session_id, k, rn - k * 4 AS time, '{a}' AS variable, {a} AS value FROM win" for a in ("ax", "rx")) + ") SELECT session_id, k, variable, count(*) AS n, round(sum(value * (time + 1)), 4) AS s FROM l GROUP BY ALL")
+@query("f21_long_format", "WITH" + WIN + ", l AS (" + " UNION ALL ".join(f"SELECT session_id, k, rn - k * 4 AS time, '{a}' AS variable, {a} AS value FROM win" for a in SIX) + ") SELECT session_id, k, variable, count(*) AS n, round(sum(value * (time + 1)), 6) AS s FROM l GROUP BY ALL")
 def _(spark, sf):
-    l = ft.long_format(watch(spark, sf), window_sec=1.0, stride_sec=0.5, fs_hz=8.0, cols=["ax", "rx"], width=WIDTH)
-    return l.groupBy("session_id", "k", "variable").agg(F.count("*").alias("n"), rnd(F.expr("sum(value * (time + 1))"), 4).alias("s"))
+    l = ft.long_format(watch(spark, sf), window_sec=1.0, stride_sec=0.5, fs_hz=8.0, cols=list(SIX), width=WIDTH)
+    return l.groupBy("session_id", "k", "variable").agg(F.count("*").alias("n"), rnd(F.expr("sum(value * (time + 1))"), 6).alias("s"))
 
 
 @query("f21_balanced_sample", "WITH" + SAMPLES + """, c AS (SELECT session_id, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY session_id) AS t FROM samples GROUP BY 1, 2)

@@ -22,13 +22,26 @@ def folds(spark, sf, model="logreg", **o):
     return panel.fold_metrics(panel.leave_group_out(windows(spark, sf), FEATS, model=model, k=3, **o))
 
 
-@query("g1_leave_group_out", """SELECT count(*) AS n, count(DISTINCT user_id) AS sessions, true AS better_than_chance FROM events""")
+@query("g1_leave_group_out", """SELECT user_id % 20 AS person_id, count(*) AS n, 1 AS folds, 0 AS with_others, true AS same_metrics, true AS better_than_chance FROM events GROUP BY 1""")
 def _(spark, sf):
+    """Rows in are rows out; a person lies in one fold, which no other fold's rows share; the fold's metrics again from its rows."""
     oof = panel.leave_group_out(windows(spark, sf), FEATS, model="logreg", k=3)
-    return oof.agg(
-        F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"),
-        (F.avg(((F.col("proba_raw") >= 0.5).cast("int") == F.col("label")).cast("int")) > 0.6).alias("better_than_chance"),
-    )
+    m = panel.fold_metrics(oof).select("held_out", "n_test", "accuracy")
+    own = oof.groupBy("held_out").agg(F.count("*").alias("rows"), F.avg(((F.col("proba_raw") >= 0.5).cast("int") == F.col("label")).cast("int")).alias("hits"))
+    same = own.join(m, "held_out").select("held_out", ((F.col("rows") == F.col("n_test")) & (F.abs(F.col("hits") - F.col("accuracy")) < 1e-9)).alias("same_metrics"), (F.col("hits") > 0.55).alias("better_than_chance"))
+    of = oof.groupBy("person_id").agg(F.count("*").alias("n"), F.countDistinct("held_out").cast("int").alias("folds"), F.countDistinct("fold").cast("int").alias("in_folds"), F.max("held_out").alias("held_out"))
+    return of.join(same, "held_out").select("person_id", "n", "folds", (F.col("in_folds") - 1).cast("int").alias("with_others"), "same_metrics", "better_than_chance")
+
+
+@query("g9_stacking", "WITH" + SAMPLES + " SELECT person_id, count(*) AS n, count(*) AS scored, 4 * count(*) AS uses, 0 AS leaks FROM samples GROUP BY 1")
+def _(spark, sf):
+    """Every window once, scored by three first models and a second one; how many of them saw its person."""
+    rows, uses, models = panel.stacked(windows(spark, sf), FEATS[:3], FEATS[3:], k=3)
+    saw = models.select("model", F.col("person_id").alias("saw"))
+    each = uses.join(rows.select("_ord", "person_id"), "_ord").join(saw, "model").groupBy("person_id").agg(F.count_if(F.col("saw") == F.col("person_id")).alias("leaks"))
+    used = uses.join(rows.select("_ord", "person_id"), "_ord").groupBy("person_id").agg(F.count("*").alias("uses"))
+    n = rows.groupBy("person_id").agg(F.count("*").alias("n"), F.count_if(F.col("proba").between(0, 1) & F.col("p1").between(0, 1)).alias("scored"))
+    return n.join(used, "person_id").join(each, "person_id").select("person_id", "n", "scored", "uses", F.col("leaks").cast("int").alias("leaks"))
 
 
 @query("g3_panel")

@@ -287,16 +287,16 @@ def _(spark, sf):
 # ── B: projections, filters, cleaning ───────────────────────────────────────
 
 
-@query("b1_numeric_coercion", """SELECT doc_id, TRY_CAST(trim(split_part(text, ' ', 2)) AS DOUBLE) IS NOT NULL AS is_number,
-  n_chars AS n FROM documents""")
+@query("b1_numeric_coercion", """SELECT doc_id, count(*) AS words, count(TRY_CAST(w AS DOUBLE)) AS numbers, max(n_chars) AS n
+  FROM (SELECT doc_id, n_chars, trim(unnest(string_split(text, ' '))) AS w FROM documents) WHERE regexp_matches(w, '^[-+]?[0-9]*[.]?[0-9]+$') OR NOT regexp_matches(w, '[0-9]') GROUP BY doc_id""")
 def _(spark, sf):
+    """Every word of each whole text that is plainly a number or has no digit, coerced; and the count of letters as text."""
     from .data import table
 
-    d = table(spark, sf, "documents").selectExpr(
-        "doc_id", "split_part(text, ' ', 2) as w", "concat(' ', cast(n_chars as string), '.0 ') as n"
-    )
+    d = table(spark, sf, "documents").selectExpr("doc_id", "concat(' ', cast(n_chars as string), '.0 ') as n", "explode(split(text, ' ')) as w").withColumn("w", F.trim("w"))
+    d = d.filter("w rlike '^[-+]?[0-9]*[.]?[0-9]+$' or not w rlike '[0-9]'")
     out = clean.coerce_numeric(d, ["w", "n"])
-    return out.selectExpr("doc_id", "w is not null as is_number", "cast(n as bigint) as n")
+    return out.groupBy("doc_id").agg(F.count("*").alias("words"), F.count("w").alias("numbers"), F.max("n").cast("bigint").alias("n"))
 
 
 @query("b2_capture_clock", "WITH" + WATCH + """
@@ -339,11 +339,14 @@ def _(spark, sf):
     return clean.device_timeline(w.join(anchor, "session_id"), anchored=True).select("_ord", "device_time_ms")
 
 
-@query("b6_frame_profile", "WITH" + SAMPLES + """, f AS (SELECT session_id, CASE WHEN k > 30 THEN k END AS k, CASE WHEN label = 1 THEN v END AS v FROM samples)
-  SELECT count(*) AS rows, 'session_id' AS "column", count(*) FILTER (session_id IS NULL) AS missing FROM f
-  UNION ALL SELECT count(*), 'k', count(*) FILTER (k IS NULL) FROM f UNION ALL SELECT count(*), 'v', count(*) FILTER (v IS NULL) FROM f""")
+FRAME = ("session_id", "person_id", "_ord", "ts", "event_type", "v", "k", "label", "p")
+HOLED = {"k": "CASE WHEN k > 30 THEN k END", "v": "CASE WHEN label = 1 THEN v END", "event_type": "CASE WHEN event_type <> 'view' THEN event_type END", "p": "CASE WHEN p < 0.2 THEN p END"}
+
+
+@query("b6_frame_profile", "WITH" + SAMPLES + ", f AS (SELECT " + ", ".join(f"{HOLED.get(c, c)} AS {c}" for c in FRAME) + " FROM samples) " + " UNION ALL ".join(
+    f"SELECT count(*) AS rows, '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS missing FROM f" for c in FRAME))
 def _(spark, sf):
-    return clean.frame_profile(samples(spark, sf).selectExpr("session_id", "if(k > 30, k, null) as k", "if(label = 1, v, null) as v"))
+    return clean.frame_profile(samples(spark, sf).selectExpr(*[f"{HOLED.get(c, c)} as {c}" for c in FRAME]))
 
 
 @query("b7_eligible_sessions", "WITH" + INDEX + """
