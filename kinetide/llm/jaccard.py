@@ -18,8 +18,8 @@ from .graph import components
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
 BITS, TILE, HUB = 1024, 2048, 128
-#: Rows of tiles that are tested together, pairs up to which those that meet are listed, and marks of a matrix for more.
-TOGETHER, LISTED, MARKS = 250_000, 4_000_000, 16_000_000
+#: Rows of tiles that are tested together, members up to which a tile's pairs are listed, and marks of a matrix for larger ones.
+TOGETHER, LISTED, MARKS = 250_000, 256, 64_000_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,27 +159,48 @@ def may_link(a: str, b: str, num: int, den: int) -> Column:
 def meeting(tiles: list[np.ndarray], component: np.ndarray, listed: int = LISTED, marks: int = MARKS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs (i < j) of different components that meet in any of the tiles (sorted arrays of numbers).
 
-    Few pairs are listed and sorted; many are marked in a matrix, of as many rows at a time as ``marks`` allows.
+    The pairs of tiles of up to ``listed`` members are listed, all tiles of one size at a time; those of larger
+    ones are marked in a matrix, of as many rows at a time as ``marks`` allows.
     """
     n = len(component)
-    if sum(len(x) * len(x) for x in tiles) <= listed:
-        codes = [np.empty(0, np.int64)]
-        for x in tiles:
-            a, b = np.triu_indices(len(x), 1)
-            codes.append(x[a] * n + x[b])
-        i, j = np.divmod(np.unique(np.concatenate(codes)), n)
+    codes, waiting, size = np.empty(0, np.int64), [], 0
+    seen = np.zeros(n * n if n * n <= marks else 0, bool)
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        """Note pairs: as marks where all pairs have one, else as sorted numbers."""
+        nonlocal codes, waiting, size
+        if len(seen):
+            seen[(i * n + j).ravel()] = True
+            return
         apart = component[i] != component[j]
-        return i[apart], j[apart]
-    height, found = max(1, marks // n), []
-    for start in range(0, n, height):
+        waiting.append((i[apart] * n + j[apart]).ravel())
+        size += len(waiting[-1])
+        if size > max(4_000_000, len(codes)):
+            codes, waiting, size = np.unique(np.concatenate([codes, *waiting])), [], 0
+
+    by_size: dict[int, list[np.ndarray]] = {}
+    for x in tiles:
+        if 1 < len(x) <= listed:
+            by_size.setdefault(len(x), []).append(x)
+    for m, some in by_size.items():
+        a, b = np.triu_indices(m, 1)
+        step = max(1, 2_000_000 // len(a))
+        for at in range(0, len(some), step):
+            x = np.stack(some[at : at + step])
+            take(x[:, a], x[:, b])
+    large = [x for x in tiles if len(x) > max(1, listed)]
+    height = max(1, marks // max(1, n))
+    for start in range(0, n if large else 0, height):
         met = np.zeros((min(height, n - start), n), bool)
-        for x in tiles:
+        for x in large:
             low, high = np.searchsorted(x, (start, start + height))
             met[np.ix_(x[low:high] - start, x[low:])] = True
         i, j = np.nonzero(met)
-        apart = (i + start < j) & (component[i + start] != component[j])
-        found.append((i[apart] + start, j[apart]))
-    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+        later = i + start < j
+        take(i[later] + start, j[later])
+    i, j = np.divmod(np.flatnonzero(seen) if len(seen) else np.unique(np.concatenate([codes, *waiting])), max(1, n))
+    apart = component[i] != component[j]
+    return i[apart], j[apart]
 
 
 def open_pairs(tiles: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:

@@ -364,7 +364,7 @@ def test_meeting_pairs_equal_brute_force():
         component = rng.integers(0, max(2, n // 3), n)
         tiles = [np.sort(rng.choice(n, int(rng.integers(1, min(n, 25) + 1)), replace=False)) for _ in range(60)]
         want = sorted({(int(min(p, q)), int(max(p, q))) for t in tiles for p in t for q in t if component[p] != component[q]})
-        for limits in ((10**9, 1), (0, 10**9), (0, 3 * n), (0, 1)):
+        for limits in ((10**9, 1), (0, 10**9), (0, 3 * n), (0, 1), (7, 10**6)):
             i, j = jaccard.meeting(tiles, component, *limits)
             assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == want
 
