@@ -246,10 +246,12 @@ def activity_lane(watch: DataFrame, clock: DataFrame, bins: int = HEAT_BINS) ->
         .selectExpr("session_id", f"{at} as bin", "ax*ax + ay*ay + az*az as _sq").filter(f"bin < {bins}")
         .groupBy("session_id", "bin").agg(F.sqrt(F.avg("_sq")).alias("rms"))
     )
-    grid = span.select("session_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    top = rms.groupBy("session_id").agg(F.max("rms").alias("peak")).filter("peak > 0")
-    return grid.join(top, "session_id").join(rms, ["session_id", "bin"], "left").selectExpr(
-        "session_id", "bin", "round(coalesce(rms, 0.0D) / peak, 3) as level"
+    # At most ``bins`` levels per session, looked up in place: a grid of bins would be a join side far above its estimate.
+    lanes = rms.filter("session_id is not null").groupBy("session_id").agg(
+        F.max("rms").alias("peak"), F.map_from_entries(F.collect_list(F.struct("bin", "rms"))).alias("_levels")
+    ).filter("peak > 0")
+    return lanes.select("session_id", "peak", "_levels", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).selectExpr(
+        "session_id", "bin", "round(coalesce(_levels[bin], 0.0D) / peak, 3) as level"
     )
 
 

@@ -9,6 +9,7 @@ from kinetide.kernels.islands import gap_exceeds
 from kinetide.kernels.order import Ordering
 from kinetide.models import panel
 from kinetide.operators import evaluate as ev
+from kinetide.operators import quality
 
 
 def test_null_keys_stay(spark):
@@ -106,3 +107,24 @@ def test_staged_tables_go_on_release(spark, tmp_path):
     table = session.staged(spark.range(3), "gone")
     path = table.inputFiles()[0].removeprefix("file:").replace("///", "/")
     assert os.path.exists(path) and session.release(spark) >= 1 and not os.path.exists(path)
+
+
+def test_activity_lane_makes_its_bins_after_the_last_join(spark):
+    """A grid of bins under a join is broadcast by the size of the sessions, 200 times too small."""
+    rows = [(s, i, 10 * i, float(i % 7 + s), 0.0, 0.0) for s in (1, 2, 3) for i in range(0, 500, s)] + [(4, 0, 5, 1.0, 0.0, 0.0), (5, 0, 0, 0.0, 0.0, 0.0), (5, 1, 9, 0.0, 0.0, 0.0)]
+    watch = spark.createDataFrame(rows, "session_id long, _ord long, local_ts long, ax double, ay double, az double")
+    clock = watch.groupBy("session_id").agg(F.min("local_ts").alias("start_ms"), F.max("local_ts").alias("end_ms"))
+    out = quality.activity_lane(watch, clock)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(") < plan.index("Join")
+    want = {}
+    for s in (1, 2, 3):  # 4 and 5 have no span or no motion
+        own = [(t, a) for k, _, t, a, _, _ in rows if k == s]
+        end, bins = max(t for t, _ in own), {}
+        for t, a in own:
+            if t < end:
+                bins.setdefault(int(t / (end / 200.0)), []).append(a * a)
+        rms = {b: (sum(v) / len(v)) ** 0.5 for b, v in bins.items()}
+        want |= {(s, b): rms.get(b, 0.0) / max(rms.values()) for b in range(200)}
+    got = {(r.session_id, r.bin): r.level for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 6e-4 for k in want)
