@@ -27,6 +27,8 @@ def merge_sessions(
     samples = watch.withColumn("_wall", F.coalesce("ts", "local_ts")).filter("_wall is not null")
     none = F.lit(None).cast("double")
     if aligned:
+        # The search and the labels read both streams a dozen times: raw text is read and parsed once.
+        samples, arrived = staged(samples, "merge-samples"), staged(arrived, "merge-dots")
         found = align.offset_search(samples.withColumn("ts", F.col("_wall")), arrived, width=width, max_rows=max_rows)
         found = staged(found.select("session_id", F.col("delta_applied").alias("pen_offset_s"), F.col("sigma").alias("pen_offset_sigma")), "pen-offsets")
         arrived = attach(arrived, found.select("session_id", "pen_offset_s"), ["session_id"], "left").withColumn(
