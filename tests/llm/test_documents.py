@@ -149,6 +149,73 @@ def test_junk_goes_and_prose_stays(spark, make, words):
     assert quality.judge(make([]), labels).count() == 0 and quality.Filter(make([]), labels).accepted(make([])).count() == 0
 
 
+def test_model_of_code_points_equals_a_direct_sum(spark, make, words):
+    texts = [" ".join(words(40, i)) for i in range(4)] + ["", "É 1!", "привет, мир 😀😁", "пример 漢字漢\x00"]
+    docs = make(list(enumerate(texts))).select("doc_id", "text")
+    counts = quality.trusted_letters(docs, docs.select("doc_id"))
+    seen = {}
+    for t in texts:
+        for i in range(len(t)):
+            g = ("\n\n\n" + t)[i : i + 4]
+            seen[g] = seen.get(g, 0) + 1
+    code = lambda g: b"".join(ord(c).to_bytes(3, "big") for c in g)
+    assert {(bytes(r.code), r.n) for r in counts.collect()} == {(code(g), n) for g, n in seen.items()}
+    orders = [seen]
+    for _ in range(3):
+        lower = {}
+        for g in orders[0]:
+            lower[g[1:]] = lower.get(g[1:], 0) + 1
+        orders.insert(0, lower)
+
+    def prob(g):
+        if not g:
+            return 1 / (len(orders[0]) + 1)
+        table = orders[len(g) - 1]
+        n = [sum(v == k for v in table.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [min(k, max(0.1, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 * k for k in (1, 2, 3)]
+        under = {h: m for h, m in table.items() if h[:-1] == g[:-1]}
+        if not under:
+            return prob(g[1:])
+        total, cut = sum(under.values()), lambda m: d[min(m, 3) - 1]
+        return (max(under[g] - cut(under[g]), 0) / total if g in under else 0) + sum(map(cut, under.values())) / total * prob(g[1:])
+
+    rng, letters = random.Random(1), sorted(orders[0]) + ["z", "ж", "漢"]
+    some = {*rng.sample(sorted(seen), 20), *("".join(rng.choices(letters, k=4)) for _ in range(20))}
+    asked = spark.createDataFrame([(bytearray(code(g)), g) for g in some], "code binary, g string")
+    got = {r.g: r.logp for r in quality.Letters(counts).log_probability(asked).collect()}
+    assert got.keys() == some and all(np.exp(got[g]) == pytest.approx(prob(g), rel=1e-9) for g in some)
+
+
+def test_letters_are_themselves_whatever_their_script(spark, make, words, monkeypatch):
+    shifted = lambda text, by: "".join(chr(0x430 + (ord(c) - 97) + by) if c.isalpha() else c for c in text.lower())
+    good = [(i, shifted(" ".join(words(80, i)), 0)) for i in range(150)]
+    # Each letter four code points on: all other letters, or the same ones in other places.
+    other = [(1000 + i, shifted(" ".join(words(80, i)), 4)) for i in range(20)]
+    odd = [(2000, None), (None, good[0][1]), (None, other[0][1]), good[3], (2001, "😀" * 400), (2002, "\x00" * 400)]
+    docs = make(good + other + odd)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    rows = quality.judge(docs, labels).collect()
+    of = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert len(rows) == 176 and sum(of[i].accepted for i in range(150)) >= 145
+    assert not any(of[i].accepted for i in (*range(1000, 1020), 2001, 2002)) and of[2000].accepted
+    assert sorted(r.accepted for r in rows if r.doc_id is None) == [0, 1]
+    kept = quality.Filter(docs, labels).accepted(docs).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(r.doc_id) for r in rows if r.accepted)
+    # What is joined scores as what is looked up.
+    monkeypatch.setattr(quality, "COMMON", 5)
+    again = {r.doc_id: r for r in quality.judge(docs, labels).collect() if r.doc_id is not None}
+    assert all(again[i].perplexity == pytest.approx(r.perplexity, rel=1e-9) and again[i].accepted == r.accepted for i, r in of.items())
+
+
+def test_numbers_of_letters_with_very_many_kinds():
+    points = np.random.default_rng(1).integers(0x20000, 0x30000, 100_000).astype(np.uint32)
+    points[5000:5010] = points[:10]
+    number = quality.numbered(points)
+    assert len(number) == len(points) - 3 and (number[5000:5007] == number[:7]).all()
+    assert len(np.unique(number)) == len(np.unique(np.stack([points[i : len(points) - 3 + i] for i in range(4)], axis=1), axis=0))
+
+
 # ---- toxicity ----
 
 
