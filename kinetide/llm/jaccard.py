@@ -20,6 +20,8 @@ WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
 BITS, TILE, HUB = 1024, 2048, 128
 #: Rows of tiles that are tested together, members up to which a tile's pairs are listed, and marks of a matrix for larger ones.
 TOGETHER, LISTED, MARKS = 250_000, 256, 64_000_000
+#: Words of 64 bits in which ids of documents in pairs are marked: 67 million bits, sent to all tasks.
+MARK_WORDS = 1 << 20
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -250,15 +252,28 @@ def open_pairs(tiles: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
     return empty(rows, kinds).unionByName(empty(facts, kinds)).groupBy(*key).applyInPandas(test, "u long, v long").distinct()
 
 
+def marked(docs: DataFrame, ids: DataFrame, words: int = MARK_WORDS) -> DataFrame:
+    """The rows of ``docs`` with a doc_id in ``ids`` (distinct), and few others: those whose hash has a bit that one in ``ids`` has.
+
+    The bits stand in at most ``words`` rows of 64, whatever the number of ids, so they are sent to all tasks
+    and texts that take no part needn't travel.
+    """
+    word, bit = f"pmod(xxhash64(doc_id), {words}L)", "cast(pmod(shiftrightunsigned(xxhash64(doc_id), 40), 64) as int)"
+    bits = ids.where("doc_id is not null").groupBy(F.expr(word).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
+    found = docs.withColumn("_word", F.expr(word)).join(F.broadcast(bits), "_word")
+    return found.where(F.expr(f"shiftrightunsigned(_bits, {bit}) & 1L = 1L")).select(*docs.columns)
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold, from whole texts.
 
-    Only texts of documents in pairs are gathered.  Pairs are grouped by u, in parts of about HUB, so a
+    Only texts of documents in pairs are gathered: ``marked`` leaves out nearly all others where they are read,
+    the join by id the rest.  Pairs are grouped by u, in parts of about HUB, so a
     text with very many partners is sent to several tasks.
     """
     pairs = staged(pairs.select("u", "v"), "jaccard-pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    found = staged(docs.join(ids, "doc_id", "left_semi"), "jaccard-texts")
+    found = staged(marked(docs, ids).join(ids, "doc_id", "left_semi"), "jaccard-texts")
     parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / HUB).cast("long").alias("parts"))
     part = F.pmod(F.xxhash64("v"), F.col("parts"))
     members = pairs.join(parts, "u").select("u", "v", part.alias("part")).join(found.withColumnRenamed("doc_id", "v"), "v").select("u", "part", "v", "text")

@@ -216,6 +216,18 @@ def test_numbers_of_letters_with_very_many_kinds():
     assert len(np.unique(number)) == len(np.unique(np.stack([points[i : len(points) - 3 + i] for i in range(4)], axis=1), axis=0))
 
 
+def test_only_texts_in_pairs_travel(spark, make, words):
+    docs = make([(i, " ".join(words(30, i))) for i in range(300)] + [(None, "no id"), (-5, "under zero"), (7, "again"), (1 << 62, "high")]).select("doc_id", "text")
+    some = [*range(0, 40, 3), 7, -5, 1 << 62, 12345]
+    ids = spark.createDataFrame([(i,) for i in some], "doc_id long")
+    for size in (1, 1 << 20):
+        kept = [r.doc_id for r in jaccard.marked(docs, ids, size).collect()]
+        inside = [i for i in kept if i in some]
+        assert sorted(inside) == sorted(i for i in [*range(300), -5, 7, 1 << 62] if i in some) and None not in kept
+        assert len(kept) == len(inside) if size > 1 else len(kept) >= len(inside)
+    assert jaccard.marked(docs, ids.where("false")).count() == 0
+
+
 # ---- toxicity ----
 
 
