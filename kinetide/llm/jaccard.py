@@ -252,16 +252,39 @@ def open_pairs(tiles: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
     return empty(rows, kinds).unionByName(empty(facts, kinds)).groupBy(*key).applyInPandas(test, "u long, v long").distinct()
 
 
-def marked(docs: DataFrame, ids: DataFrame, words: int = MARK_WORDS) -> DataFrame:
-    """The rows of ``docs`` with a doc_id in ``ids`` (distinct), and few others: those whose hash has a bit that one in ``ids`` has.
+def marked(rows: DataFrame, keys: DataFrame, words: int = MARK_WORDS) -> DataFrame:
+    """The rows of ``rows`` with a key in ``keys`` (all its columns, without nulls), and few others: those whose hash has a bit that one in ``keys`` has.
 
-    The bits stand in at most ``words`` rows of 64, whatever the number of ids, so they are sent to all tasks
-    and texts that take no part needn't travel.
+    The bits stand in at most ``words`` rows of 64, whatever the number of keys, so they are sent to all tasks
+    and rows that take no part needn't travel.
     """
-    word, bit = f"pmod(xxhash64(doc_id), {words}L)", "cast(pmod(shiftrightunsigned(xxhash64(doc_id), 40), 64) as int)"
-    bits = ids.where("doc_id is not null").groupBy(F.expr(word).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
-    found = docs.withColumn("_word", F.expr(word)).join(F.broadcast(bits), "_word")
-    return found.where(F.expr(f"shiftrightunsigned(_bits, {bit}) & 1L = 1L")).select(*docs.columns)
+    hashed = f"xxhash64({', '.join(keys.columns)})"
+    word, bit = f"pmod({hashed}, {words}L)", f"cast(pmod(shiftrightunsigned({hashed}, 40), 64) as int)"
+    bits = keys.dropna().groupBy(F.expr(word).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
+    found = rows.withColumn("_word", F.expr(word)).join(F.broadcast(bits), "_word")
+    return found.where(F.expr(f"shiftrightunsigned(_bits, {bit}) & 1L = 1L")).select(*rows.columns)
+
+
+def having(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``rows`` with a key in ``keys`` (distinct), of which only the ``marked`` ones travel.
+
+    An inner join, since a semi-join would be taken before the marks, with all rows.
+    """
+    return marked(rows, keys).join(keys, keys.columns).select(*rows.columns)
+
+
+def open_tiles(shared: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
+    """(sig, doc, u, component, n): the members of the tiles in ``shared`` that hold several of the components ``found``.
+
+    Such a tile has a member in another component than its least one.  That is told from ``met``, the distinct
+    (u, doc) of all tiles, of which near copies share hundreds; only rows of open tiles travel.
+    """
+    of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
+    apart = met.join(of("u"), "u", "left").join(of("doc"), "doc", "left").where(F.coalesce("u_in", "u") != F.coalesce("doc_in", "doc")).select("u", "doc")
+    sigs = staged(having(shared, staged(apart, "jaccard-apart")).select("sig").distinct(), "jaccard-sigs")
+    rows = staged(having(shared.select("sig", "doc", "u"), sigs), "jaccard-rows")
+    rows = rows.join(rows.groupBy("sig").agg(F.count("*").alias("n")), "sig")
+    return rows.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "u", F.coalesce("component", "doc").alias("component"), "n")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -273,7 +296,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int)
     """
     pairs = staged(pairs.select("u", "v"), "jaccard-pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    found = staged(marked(docs, ids).join(ids, "doc_id", "left_semi"), "jaccard-texts")
+    found = staged(having(docs, staged(ids, "jaccard-ids")), "jaccard-texts")
     parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / HUB).cast("long").alias("parts"))
     part = F.pmod(F.xxhash64("v"), F.col("parts"))
     members = pairs.join(parts, "u").select("u", "v", part.alias("part")).join(found.withColumnRenamed("doc_id", "v"), "v").select("u", "part", "v", "text")
@@ -318,7 +341,8 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     shared = signed(known, words, num, den).withColumn("u", F.min("doc").over(tile)).withColumn("z", F.max("doc").over(tile)).where("u < z").select("sig", "doc", "u")
     shared = staged(shared, "jaccard-tiles")
     facts = lambda of: nodes.select(F.struct("n", "bits").alias(of), F.col("doc_id").alias(f"{of}_id"))
-    stars = shared.where("doc > u").select("u", F.col("doc").alias("v")).distinct()
+    met = staged(shared.where("doc > u").select("u", "doc").distinct(), "jaccard-met")
+    stars = met.withColumnRenamed("doc", "v")
     copies = equal.select("u", F.col("v")).unionByName(equal.select(F.col("v").alias("u"), F.col("u").alias("v")))
     stars = stars.join(copies, ["u", "v"], "left_anti")
 
@@ -329,9 +353,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     tested = staged(may(stars), "jaccard-tested")
     links = staged(equal.unionByName(verified(known, tested, words, num, den)), "jaccard-links")
     found = staged(components(links), "jaccard-components")
-    members = shared.select("sig", "doc", "u").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    several = members.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("n")).where("a < z").select("sig", "n")
-    pairs = open_pairs(staged(members.join(several, "sig"), "jaccard-open"), nodes, num, den)
+    pairs = open_pairs(staged(open_tiles(shared, met, found), "jaccard-open"), nodes, num, den)
     more = verified(known, pairs.join(tested, ["u", "v"], "left_anti"), words, num, den)
     found = components(links.unionByName(more))
 

@@ -228,6 +228,30 @@ def test_only_texts_in_pairs_travel(spark, make, words):
     assert jaccard.marked(docs, ids.where("false")).count() == 0
 
 
+def test_only_marked_rows_meet_the_keys(spark):
+    """A semi-join behind the marks is taken before them, and then all texts travel."""
+    docs = spark.range(300).selectExpr("id as doc_id", "'text' as text")
+    ids = spark.createDataFrame([(i,) for i in (3, 5, 299, 700)], "doc_id long")
+    out = jaccard.having(docs, ids)
+    assert sorted(map(tuple, out.collect())) == [(3, "text"), (5, "text"), (299, "text")]
+    assert "LeftSemi" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_open_tiles_are_those_of_several_components(spark):
+    rng = random.Random(5)
+    tiles = {sig: sorted(rng.sample(range(40), rng.randint(2, 6))) for sig in range(60)}
+    component = {d: d % 3 for d in range(3, 24)}  # others are a component of their own
+    shared = spark.createDataFrame([(s, d, min(t)) for s, t in tiles.items() for d in t], "sig long, doc long, u long")
+    met = shared.where("doc > u").select("u", "doc").distinct()
+    found = spark.createDataFrame(list(component.items()), "node long, component long")
+    out = jaccard.open_tiles(shared, met, found).select("sig", "doc", "u", "component", "n")
+    want = []
+    for s, t in tiles.items():
+        own = [component.get(d, d) for d in t]
+        want += [(s, d, min(t), c, len(t)) for d, c in zip(t, own, strict=True) if len(set(own)) > 1]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
 # ---- toxicity ----
 
 
