@@ -222,6 +222,29 @@ class Letters:
         return made.select(*codes.columns, F.log("p").alias("logp"))
 
 
+def most_met(known: DataFrame, most: int = COMMON) -> DataFrame:
+    """(code, logp) of the ``most`` rows of greatest n, of equal ones those of least code.
+
+    How many n-grams are met how often tells the least n that is among them, so that only these rows go to the driver
+    and not the first ``most`` of each task.  The distinct n of one power of two go there too: fewer than all letters / ``most``.
+    """
+    by_n = known.groupBy("n").agg(F.count("*").alias("codes")).withColumn("step", F.floor(F.log2("n")).cast("int"))
+    taken, low = 0, None
+    for r in by_n.groupBy("step").agg(F.sum("codes").alias("codes")).orderBy(F.desc("step")).collect():
+        if taken + r["codes"] > most:
+            for x in by_n.where(F.col("step") == r["step"]).orderBy(F.desc("n")).collect():
+                low = x["n"]
+                if taken + x["codes"] > most:
+                    break
+                taken += x["codes"]
+            break
+        taken += r["codes"]
+    if low is None:
+        return known.select("code", "logp")
+    ties = known.where(F.col("n") == low).orderBy("code").limit(most - taken)
+    return staged(known.where(F.col("n") > low).unionByName(ties).select("code", "logp"), "quality-common")
+
+
 class Common:
     """The n-grams met most often, as sorted numbers, with their log-probabilities: what a task looks up without a join."""
 
@@ -347,8 +370,9 @@ class Filter:
         rows = self.read(docs)
         met = staged(counts_of(rows), "quality-met")
         known = staged(self.model.log_probability(met), "quality-letters")
-        top = known.orderBy(F.desc("n"), "code").limit(COMMON).select("code", "logp").toPandas()
-        common, name = docs.sparkSession.sparkContext.broadcast((top["code"].to_list(), top["logp"].to_list())), uuid.uuid4().hex
+        top = most_met(known).toArrow()
+        codes, logp = b"".join(top["code"].to_pylist()), top["logp"].to_numpy()
+        common, name = docs.sparkSession.sparkContext.broadcast(([codes], logp)), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = held(("quality", name), lambda: Common(*common.value))  # workers keep the table of the last filter by name

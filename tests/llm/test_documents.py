@@ -252,6 +252,15 @@ def test_open_tiles_are_those_of_several_components(spark):
     assert sorted(map(tuple, out.collect())) == sorted(want)
 
 
+def test_most_met_is_the_head_of_the_order(spark):
+    rng = random.Random(3)
+    rows = [(bytes([i // 256, i % 256]), rng.choice([1, 1, 2, 3, 3, 9, 17, 300]), -float(i)) for i in range(600)]
+    known = spark.createDataFrame(rows, "code binary, n long, logp double")
+    for most in (1, 37, 300, 599, 600, 1000):
+        want = sorted((bytes(c), p) for c, n, p in sorted(rows, key=lambda r: (-r[1], r[0]))[:most])
+        assert sorted((bytes(r.code), r.logp) for r in quality.most_met(known, most).collect()) == want
+
+
 # ---- toxicity ----
 
 
