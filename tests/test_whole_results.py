@@ -4,12 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetide import session
-from kinetide.kernels import attach, interval_anti, interval_join, islands, scan, with_chunks
+from kinetide.kernels import attach, auc, interval_anti, interval_join, islands, scan, with_chunks
 from kinetide.kernels.islands import gap_exceeds
 from kinetide.kernels.order import Ordering
 from kinetide.models import panel
 from kinetide.operators import evaluate as ev
-from kinetide.operators import quality
+from kinetide.operators import align, quality
 
 
 def test_null_keys_stay(spark):
@@ -128,3 +128,11 @@ def test_activity_lane_makes_its_bins_after_the_last_join(spark):
         want |= {(s, b): rms.get(b, 0.0) / max(rms.values()) for b in range(200)}
     got = {(r.session_id, r.bin): r.level for r in out.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 6e-4 for k in want)
+
+
+def test_motion_peaks_read_their_table_once(spark, tmp_path):
+    rows = [(s, 20 * i, 1000 * i, 50.0 + s if i % 50 == 25 else 1.0 + (i % 7) / 100) for s in (1, 2) for i in range(300)]
+    spark.createDataFrame(rows, "session_id long, _ord long, ts long, motion_mag double").write.parquet(str(tmp_path / "watch"))
+    out = align.motion_peaks(spark.read.parquet(str(tmp_path / "watch")), width=5000)
+    assert not [f for f in out.inputFiles() if "/watch/" in f]
+    assert sorted((r.session_id, r.ts, r.motion_mag) for r in out.collect()) == [(s, 1000 * i, 50.0 + s) for s in (1, 2) for i in range(25, 300, 50)]
