@@ -136,3 +136,19 @@ def test_motion_peaks_read_their_table_once(spark, tmp_path):
     out = align.motion_peaks(spark.read.parquet(str(tmp_path / "watch")), width=5000)
     assert not [f for f in out.inputFiles() if "/watch/" in f]
     assert sorted((r.session_id, r.ts, r.motion_mag) for r in out.collect()) == [(s, 1000 * i, 50.0 + s) for s in (1, 2) for i in range(25, 300, 50)]
+
+
+def test_permutation_importance_pairs_rows_once(spark, monkeypatch):
+    rows = [(s, i, 10 * i, float((i * 7 + s) % 11), float((i * 5) % 13), int((i * 7 + s) % 11 > 5)) for s in (1, 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "session_id long, _ord long, ts long, a double, b double, label int")
+    model = panel.fit(df, ["a", "b"], "rf_small")
+    data = with_chunks(df, ["session_id"], "ts", "_ord", 500)
+    alone = {}
+    for name in ("a", "b"):
+        s = panel.score(model, ev.shuffled(data, ["session_id"], ["ts", "_ord"], name)).select("label", "proba_raw")
+        alone[name] = auc(panel.score(model, df), [], "proba_raw", "label").first()["auc"] - auc(s, [], "proba_raw", "label").first()["auc"]
+    calls, numbered = [], ev.row_numbers
+    monkeypatch.setattr(ev, "row_numbers", lambda *a, **b: calls.append(a) or numbered(*a, **b))
+    out = {r.feature: r["drop"] for r in panel.permutation_importance(model, data, ["a", "b"], ["ts", "_ord"]).collect()}
+    assert len(calls) == 2
+    assert out == pytest.approx(alone) and out["a"] > 0.2
