@@ -34,6 +34,8 @@ def merge_sessions(
         arrived = attach(arrived, found.select("session_id", "pen_offset_s"), ["session_id"], "left").withColumn(
             "ts", F.col("ts") + F.coalesce("pen_offset_s", F.lit(0.0)) * 1000.0).drop("pen_offset_s")
     once = clean.drop_replays(samples).withColumnRenamed("ts", "_own").withColumnRenamed("_wall", "ts")
+    if aligned:
+        once = staged(once, "merge-once")  # its chunks are counted before it is joined
     out = label.label_samples(once, arrived, tolerance=tolerance, width=width, max_rows=max_rows)
     if markers is not None:
         out = label.attach_tasks(out, strokes.task_timeline(markers), width=width)

@@ -55,6 +55,14 @@ def test_scan_equals_whole_key_order(spark, samples, width, rows):
     pd.testing.assert_frame_equal(a, b)
 
 
+def test_look_ahead_is_no_frame_to_the_end(spark, samples):
+    """Such a frame reads all later rows of a chunk anew for each row; one in the opposite order reads each once."""
+    df = with_chunks(_frame(spark, samples), ["k"], "ts", "o", 10**9)
+    out = scan(df, Ordering(("k",), ("ts", "o")), upcoming={"u": F.col("v")})
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert out.columns == [*df.columns, "u"] and out.count() == len(samples)
+
+
 @pytest.mark.parametrize("width,rows", SETTINGS)
 def test_islands(spark, samples, width, rows):
     df = with_chunks(_frame(spark, samples), ["k"], "ts", "o", width, rows)
