@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetide.session import fresh_path, shared_dir, staged
+from kinetide.session import discard, fresh_path, shared_dir, staged
 
-__all__ = ["fresh_path", "held", "keyed_crc", "pieces", "shared_dir", "staged", "table", "texts"]
+__all__ = ["discard", "fresh_path", "held", "keyed_crc", "pieces", "shared_dir", "staged", "table", "texts"]
 
 
 _held: dict[Hashable, Any] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _stars(pairs: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def components(pairs: DataFrame) -> DataFrame:
     links = staged(pairs.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "links")
     mark = None
     while True:
-        links = staged(_stars(_stars(links, True), False), "links")
+        before, links = links, staged(_stars(_stars(links, True), False), "links")
+        discard(before)
         now = links.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if now == mark or not now[0]:
             break

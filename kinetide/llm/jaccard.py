@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, staged, texts
+from .common import discard, pieces, staged, texts
 from .graph import components
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
@@ -112,36 +112,37 @@ def _signed(x: int) -> int:
 
 
 def _firsts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple]]:
-    """(doc_id, elements, first, key) of each row; ``first`` is the first id in the partition with the same set."""
+    """(doc_id, elements, first, key, stands) of each row; ``first`` is the first id in the partition with the same set."""
     seen: dict[tuple[int, int], int] = {}
     for batch in pieces(batches):
         out = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        stands = batch.column("stands").to_pylist() if "stands" in batch.schema.names else [True] * batch.num_rows
+        for doc, text, may in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), stands, strict=True):
             found = shingles(text, words)
             raw = found.tobytes()
             key = (_signed(xxhash.xxh3_64_intdigest(raw)), _signed(xxhash.xxh3_64_intdigest(raw, 1)))
-            out.append((doc, found, (seen.setdefault(key, doc) if len(found) and doc is not None else doc), key))
+            out.append((doc, found, (seen.setdefault(key, doc) if len(found) and doc is not None else doc), key, may))
         yield out
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _firsts(batches, words):
-            made = [(doc, len(found), first, *key, bitmap(found).tolist() if doc == first else None) for doc, found, first, key in rows]
+            made = [(doc, len(found), first, *key, bitmap(found).tolist() if doc == first else None) for doc, found, first, key, _ in rows]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), _SETS, strict=True)], schema=_SETS)
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, first long, h1 long, h2 long, bits array<long>")
 
 
 def signed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(sig, doc) of the first copies of each partition."""
+    """(sig, doc) of the first copies of each partition, once for each of a document's sets; of those that ``stands`` names, if there is such a column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _firsts(batches, words):
             own, emitted = [], set()
-            for doc, found, first, _ in rows:
-                if len(found) and doc == first and doc not in emitted:
-                    emitted.add(doc)
+            for doc, found, first, key, may in rows:
+                if may and len(found) and doc == first and (doc, key) not in emitted:
+                    emitted.add((doc, key))
                     own.append((doc, signatures(found, num, den)))
             sigs = np.concatenate([s for _, s in own]) if own else np.empty(0, np.int64)
             ids = np.repeat(np.array([d for d, _ in own], np.int64), [len(s) for _, s in own]) if own else sigs
@@ -252,17 +253,22 @@ def open_pairs(tiles: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
     return empty(rows, kinds).unionByName(empty(facts, kinds)).groupBy(*key).applyInPandas(test, "u long, v long").distinct()
 
 
+def with_marks(rows: DataFrame, keys: DataFrame, name: str, words: int = MARK_WORDS, how: str = "left") -> DataFrame:
+    """``rows`` with a column that is true where ``keys`` has the row's key (all its columns, without nulls), and for few others (see ``marked``)."""
+    hashed = f"xxhash64({', '.join(keys.columns)})"
+    word, bit = f"pmod({hashed}, {words}L)", f"cast(pmod(shiftrightunsigned({hashed}, 40), 64) as int)"
+    bits = keys.dropna().groupBy(F.expr(word).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
+    found = rows.withColumn("_word", F.expr(word)).join(F.broadcast(bits), "_word", how)
+    return found.select(*rows.columns, F.expr(f"coalesce(shiftrightunsigned(_bits, {bit}) & 1L = 1L, false)").alias(name))
+
+
 def marked(rows: DataFrame, keys: DataFrame, words: int = MARK_WORDS) -> DataFrame:
     """The rows of ``rows`` with a key in ``keys`` (all its columns, without nulls), and few others: those whose hash has a bit that one in ``keys`` has.
 
     The bits stand in at most ``words`` rows of 64, whatever the number of keys, so they are sent to all tasks
     and rows that take no part needn't travel.
     """
-    hashed = f"xxhash64({', '.join(keys.columns)})"
-    word, bit = f"pmod({hashed}, {words}L)", f"cast(pmod(shiftrightunsigned({hashed}, 40), 64) as int)"
-    bits = keys.dropna().groupBy(F.expr(word).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
-    found = rows.withColumn("_word", F.expr(word)).join(F.broadcast(bits), "_word")
-    return found.where(F.expr(f"shiftrightunsigned(_bits, {bit}) & 1L = 1L")).select(*rows.columns)
+    return with_marks(rows, keys, "_marked", words, "inner").where("_marked").drop("_marked")
 
 
 def having(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -281,10 +287,14 @@ def open_tiles(shared: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame
     """
     of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
     apart = met.join(of("u"), "u", "left").join(of("doc"), "doc", "left").where(F.coalesce("u_in", "u") != F.coalesce("doc_in", "doc")).select("u", "doc")
-    sigs = staged(having(shared, staged(apart, "jaccard-apart")).select("sig").distinct(), "jaccard-sigs")
+    apart = staged(apart, "jaccard-apart")
+    sigs = staged(having(shared, apart).select("sig").distinct(), "jaccard-sigs")
     rows = staged(having(shared.select("sig", "doc", "u"), sigs), "jaccard-rows")
-    rows = rows.join(rows.groupBy("sig").agg(F.count("*").alias("n")), "sig")
-    return rows.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "u", F.coalesce("component", "doc").alias("component"), "n")
+    sized = rows.join(rows.groupBy("sig").agg(F.count("*").alias("n")), "sig")
+    out = sized.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "u", F.coalesce("component", "doc").alias("component"), "n")
+    out = staged(out, "jaccard-open")
+    discard(apart, sigs, rows)
+    return out
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -296,7 +306,8 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int)
     """
     pairs = staged(pairs.select("u", "v"), "jaccard-pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    found = staged(having(docs, staged(ids, "jaccard-ids")), "jaccard-texts")
+    ids = staged(ids, "jaccard-ids")
+    found = staged(having(docs, ids), "jaccard-texts")
     parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / HUB).cast("long").alias("parts"))
     part = F.pmod(F.xxhash64("v"), F.col("parts"))
     members = pairs.join(parts, "u").select("u", "v", part.alias("part")).join(found.withColumnRenamed("doc_id", "v"), "v").select("u", "part", "v", "text")
@@ -308,14 +319,16 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int)
         hits = [(int(u), int(v)) for u, v, t in zip(rest["u"], rest["v"], rest["text"], strict=True) if any(linked(a, s, num, den) for s in [shingles(t, words)] for a in own)]
         return pd.DataFrame(hits, columns=["u", "v"]).astype("int64")
 
-    return members.unionByName(hubs).groupBy("u", "part").applyInPandas(check, "u long, v long").distinct()
+    out = staged(members.unionByName(hubs).groupBy("u", "part").applyInPandas(check, "u long, v long").distinct(), "jaccard-verified")
+    discard(pairs, ids, found)
+    return out
 
 
 def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of the links den * |a & b| >= num * |a | b|.
 
     1. Equal sets are one node: the first of a partition stands for its copies there, and the firsts of all
-       partitions meet by two 64-bit digests of the whole set.
+       partitions meet by two 64-bit digests of the whole set.  The least of them stands for all in what follows.
     2. Tiles: sets that link agree in one of k hash ranges of their size band (see ``ranges``), so every
        link lies inside a (band, range, content) tile.  A tile's members are paired with its least one;
        pairs that pass sizes and bitmaps are verified on whole texts, and give first components.
@@ -333,13 +346,16 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     nodes = sets.where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("first")) & (F.col("n_shingles") > 0)).select(
         "doc_id", F.col("n_shingles").alias("n"), "h1", "h2", "bits").dropDuplicates(["doc_id", "h1", "h2"])
     nodes = staged(nodes, "jaccard-nodes")
-    least = nodes.groupBy("h1", "h2").agg(F.min("doc_id").alias("u"))
+    least = staged(nodes.groupBy("h1", "h2").agg(F.min("doc_id").alias("u")), "jaccard-least")
     equal = nodes.select("h1", "h2", F.col("doc_id").alias("v")).join(least, ["h1", "h2"]).where(F.col("u") < F.col("v")).select("u", "v")
     equal = staged(equal, "jaccard-equal")
 
     tile = Window.partitionBy("sig")
-    shared = signed(known, words, num, den).withColumn("u", F.min("doc").over(tile)).withColumn("z", F.max("doc").over(tile)).where("u < z").select("sig", "doc", "u")
+    # Copies would share all their tiles: only ids that stand for a set, and the few that are marked with them, are signed.
+    ids = least.select(F.col("u").alias("doc_id")).distinct()
+    shared = signed(with_marks(known, ids, "stands"), words, num, den).withColumn("u", F.min("doc").over(tile)).withColumn("z", F.max("doc").over(tile)).where("u < z").select("sig", "doc", "u")
     shared = staged(shared, "jaccard-tiles")
+    discard(least)
     facts = lambda of: nodes.select(F.struct("n", "bits").alias(of), F.col("doc_id").alias(f"{of}_id"))
     met = staged(shared.where("doc > u").select("u", "doc").distinct(), "jaccard-met")
     stars = met.withColumnRenamed("doc", "v")
@@ -351,11 +367,15 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
         return near.where(may_link("a", "b", num, den)).select("u", "v").distinct()
 
     tested = staged(may(stars), "jaccard-tested")
-    links = staged(equal.unionByName(verified(known, tested, words, num, den)), "jaccard-links")
+    near = verified(known, tested, words, num, den)
+    links = staged(equal.unionByName(near), "jaccard-links")
     found = staged(components(links), "jaccard-components")
-    pairs = open_pairs(staged(open_tiles(shared, met, found), "jaccard-open"), nodes, num, den)
-    more = verified(known, pairs.join(tested, ["u", "v"], "left_anti"), words, num, den)
+    tiles = open_tiles(shared, met, found)
+    discard(near, equal, shared, met, found)
+    more = verified(known, open_pairs(tiles, nodes, num, den).join(tested, ["u", "v"], "left_anti"), words, num, den)
+    discard(tiles, nodes, tested)
     found = components(links.unionByName(more))
+    discard(links, more)
 
     of_node = sets.where(F.col("doc_id").isNotNull()).groupBy("first").agg(F.min("doc_id").alias("low")).join(found.withColumnRenamed("node", "first"), "first", "left")
     of_node = of_node.select("first", "low", F.coalesce("component", "first").alias("component"))
@@ -371,6 +391,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den:
 
     Of rows with one doc_id one stays; rows with a null doc_id all stay.
     """
-    kept = join(docs, words, num, den).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = join(docs, words, num, den).where(F.col("doc_id") == F.col("component_id"))
+    kept = staged(kept.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct(), "jaccard-kept")
+    named = having(docs, kept).dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull()))

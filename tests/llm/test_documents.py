@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinetide import session
 from kinetide.llm import graph, jaccard, licenses, lines, quality, toxicity
 
 # ---- licenses ----
@@ -487,6 +488,34 @@ def test_a_null_id_stands_for_no_copy(spark, make, words):
     assert got == {(None, None), (8, 5), (5, 5), (9, 5)}
 
 
+def test_copies_of_all_partitions_are_signed_once(spark, make, words, monkeypatch):
+    """Each copy would put its id into all tiles of its set."""
+    rows = {}
+
+    def counted(df, name, *by):
+        out = session.staged(df, name, *by)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    docs = make([(100 * copy + i, " ".join(words(60, i))) for copy in range(8) for i in range(6)], 8)
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs).collect()}
+    assert got == {100 * copy + i: i for copy in range(8) for i in range(6)} and rows["jaccard-tiles"] == 0
+
+
+def test_an_id_is_signed_for_each_of_its_sets(spark, make, words):
+    a, b = (" ".join(words(60, i)) for i in range(2))
+    got = {(r.doc_id, r.component_id) for r in jaccard.join(make([(4, a), (4, b), (8, a + " tail"), (9, b + " tail")], 1)).collect()}
+    assert got == {(4, 4), (8, 4), (9, 4)}
+
+
+def test_only_kept_documents_travel(spark, make, words):
+    docs = make([(i, " ".join(words(30, i % 50))) for i in range(200)])
+    out = jaccard.one_of_each(docs.select("doc_id", "text", F.col("doc_id").cast("int").alias("n")).withColumn("doc_id", F.col("n")).drop("n"))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(50))
+    assert "LeftSemi" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_the_stage_joins_pairs_between_both_measures(spark, make):
     import corpus_pipeline
 

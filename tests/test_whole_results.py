@@ -109,6 +109,28 @@ def test_staged_tables_go_on_release(spark, tmp_path):
     assert os.path.exists(path) and session.release(spark) >= 1 and not os.path.exists(path)
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    import time
+
+    files = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before, kept = files(), spark.conf.get(session.CLEANUP)
+    table = session.staged(spark.range(1000).groupBy(F.expr("id % 7").alias("k")).count(), "shuffled")
+    until = time.time() + 20
+    while (left := {f for f in files() - before if "shuffle_" in f}) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(session.CLEANUP) == kept and table.count() == 7
+
+
+def test_a_table_that_is_no_longer_read_is_discarded(spark):
+    import os
+
+    table, other = session.staged(spark.range(3), "read"), session.staged(spark.range(3), "kept")
+    path = table.inputFiles()[0].removeprefix("file:").replace("///", "/")
+    session.discard(table, spark.range(2))
+    session.discard(table)
+    assert not os.path.exists(path) and other.count() == 3
+
+
 def test_activity_lane_makes_its_bins_after_the_last_join(spark):
     """A grid of bins under a join is broadcast by the size of the sessions, 200 times too small."""
     rows = [(s, i, 10 * i, float(i % 7 + s), 0.0, 0.0) for s in (1, 2, 3) for i in range(0, 500, s)] + [(4, 0, 5, 1.0, 0.0, 0.0), (5, 0, 0, 0.0, 0.0, 0.0), (5, 1, 9, 0.0, 0.0, 0.0)]
