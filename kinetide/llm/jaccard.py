@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetide.kernels.attach import having, marked, with_marks
+
 from .common import discard, pieces, staged, texts
 from .graph import components
 
@@ -20,8 +22,6 @@ WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
 BITS, TILE, HUB = 1024, 2048, 128
 #: Rows of tiles that are tested together, members up to which a tile's pairs are listed, and marks of a matrix for larger ones.
 TOGETHER, LISTED, MARKS = 250_000, 256, 64_000_000
-#: Words of 64 bits in which ids of documents in pairs are marked: 67 million bits, sent to all tasks.
-MARK_WORDS = 1 << 20
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -253,32 +253,6 @@ def open_pairs(tiles: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
     return empty(rows, kinds).unionByName(empty(facts, kinds)).groupBy(*key).applyInPandas(test, "u long, v long").distinct()
 
 
-def with_marks(rows: DataFrame, keys: DataFrame, name: str, words: int = MARK_WORDS, how: str = "left") -> DataFrame:
-    """``rows`` with a column that is true where ``keys`` has the row's key (all its columns, without nulls), and for few others (see ``marked``)."""
-    hashed = f"xxhash64({', '.join(keys.columns)})"
-    word, bit = f"pmod({hashed}, {words}L)", f"cast(pmod(shiftrightunsigned({hashed}, 40), 64) as int)"
-    bits = keys.dropna().groupBy(F.expr(word).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
-    found = rows.withColumn("_word", F.expr(word)).join(F.broadcast(bits), "_word", how)
-    return found.select(*rows.columns, F.expr(f"coalesce(shiftrightunsigned(_bits, {bit}) & 1L = 1L, false)").alias(name))
-
-
-def marked(rows: DataFrame, keys: DataFrame, words: int = MARK_WORDS) -> DataFrame:
-    """The rows of ``rows`` with a key in ``keys`` (all its columns, without nulls), and few others: those whose hash has a bit that one in ``keys`` has.
-
-    The bits stand in at most ``words`` rows of 64, whatever the number of keys, so they are sent to all tasks
-    and rows that take no part needn't travel.
-    """
-    return with_marks(rows, keys, "_marked", words, "inner").where("_marked").drop("_marked")
-
-
-def having(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``rows`` with a key in ``keys`` (distinct), of which only the ``marked`` ones travel.
-
-    An inner join, since a semi-join would be taken before the marks, with all rows.
-    """
-    return marked(rows, keys).join(keys, keys.columns).select(*rows.columns)
-
-
 def open_tiles(shared: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
     """(sig, doc, u, component, n): the members of the tiles in ``shared`` that hold several of the components ``found``.
 

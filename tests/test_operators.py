@@ -1,6 +1,7 @@
 """Operators on small sensor fixtures, and the same result for every way of cutting sessions."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -118,6 +119,22 @@ def test_windows_sixty_seconds(spark):
     assert math.isclose(r.ax_q70, np.quantile(x, 0.7), rel_tol=1e-9)
 
 
+def test_samples_of_overlapping_windows_travel_once(spark, monkeypatch):
+    """Windows of 25 rows at every row: the rows of a window are made where it is aggregated."""
+    rng = np.random.default_rng(8)
+    w = pd.DataFrame({"session_id": np.repeat([1, 2, 3], (700, 30, 20)), "_ord": range(750), "ts": np.arange(750) * 40, "label_writing": rng.integers(0, 2, 750)})
+    for c in ("ax", "ay", "az", "rx", "ry", "rz"):
+        w[c] = rng.integers(0, 5, 750).astype(float)
+    plans, tables = [], []
+    for overlap in (ft.OVERLAP, 10**9):
+        monkeypatch.setattr(ft, "OVERLAP", overlap)
+        out = ft.build_windows(spark.createDataFrame(w), window_sec=1.0, stride_sec=0.04, fs_hz=25.0, max_gap_ms=0)
+        plans.append(bool(re.search(r"hashpartitioning\(session_id#\d+L?, k#", out._jdf.queryExecution().executedPlan().toString())))
+        tables.append(out.toPandas().sort_values(["session_id", "k"]).reset_index(drop=True))
+    assert plans == [False, True] and len(tables[0]) == 676 + 6
+    pd.testing.assert_frame_equal(tables[0], tables[1][tables[0].columns], rtol=1e-9)
+
+
 def test_decimation_suppresses_alias(spark):
     t = np.arange(0, 5000, 10)
     w = pd.DataFrame({"session_id": "A", "_ord": range(len(t)), "ts": t, "ax": np.sin(2 * np.pi * 40 * t / 1000), "ay": np.sin(2 * np.pi * 5 * t / 1000)})
