@@ -51,9 +51,10 @@ PANEL = ("dummy", "rf_small", "extra_small", "hist_gb_small", "logreg", "mlp", "
 def _(spark, sf):
     """Every kind of the panel: rows scored, folds, and whether the AUC is over 0.7 on a rule that two thirds of the labels follow."""
     out = None
-    w = staged(windows(spark, sf), "panel-windows")
+    w = staged(windows(spark, sf).select("session_id", "person_id", "_ord", "label", *FEATS), "panel-windows")
+    data = panel.folded(w, FEATS, k=2)  # scaled and dealt to folds once, for all models
     for m in PANEL:
-        f = panel.fold_metrics(panel.leave_group_out(w, FEATS, model=m, k=2))
+        f = panel.fold_metrics(panel.leave_group_out(w, FEATS, model=m, k=2, data=data))
         d = f.agg(F.sum("n_test").alias("n"), F.count("*").alias("folds"), (F.min("roc_auc") > 0.7).alias("above")).select(F.lit(m).alias("model"), "*")
         out = d if out is None else out.unionByName(d)
     return out

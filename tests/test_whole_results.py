@@ -1,5 +1,6 @@
 """Nothing is lost on the way: NULL keys, missing features, overlaps, shared folders."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,35 @@ def test_staged_tables_go_on_release(spark, tmp_path):
     assert os.path.exists(path) and session.release(spark) >= 1 and not os.path.exists(path)
 
 
+def test_models_share_one_prepared_table(spark, monkeypatch):
+    """Windows are scaled and dealt to folds once, and a fit's passes don't count the classes again."""
+    rows = [(i % 4, i % 4, i, i % 2 if i % 50 else None, float((i * 7) % 11 + 3 * (i % 2)), float(i % 5)) for i in range(240)]
+    w = spark.createDataFrame(rows, "session_id long, person_id long, _ord long, label int, a double, b double")
+    data = panel.folded(w.filter("label is not null"), ["a", "b"], k=2)
+    want = panel.fold_metrics(panel.leave_group_out(w.filter("label is not null"), ["a", "b"], model="logreg", k=2)).collect()
+    with monkeypatch.context() as m:
+        m.setattr(ev, "zscore_per_session", None)
+        got = panel.fold_metrics(panel.leave_group_out(w, ["a", "b"], model="logreg", k=2, data=data)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 2
+    weighted = panel.balanced_weights(w)
+    plan = weighted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and weighted.columns[0] == "label"
+    n = {label: sum(r[3] == label for r in rows) for label in (0, 1)}
+    assert {(r.label, r.weight) for r in weighted.collect()} == {(label, 240 / (2.0 * count)) for label, count in n.items()}
+    assert panel.balanced_weights(w.limit(0)).count() == 0
+
+
+def test_fourier_features_are_cosines_of_random_directions(spark):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = np.random.default_rng(2).normal(size=(40, 3))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i long, x array<double>").select("i", array_to_vector("x").alias("_plain"))
+    out = panel.RandomFourier(width=3).transform(df).select("i", vector_to_array("features").alias("f")).orderBy("i").collect()
+    rng = np.random.default_rng(panel.SEED)
+    turn, shift = rng.normal(size=(3, panel.DIRECTIONS)) * np.sqrt(2.0 / 3), rng.uniform(0, 2 * np.pi, panel.DIRECTIONS)
+    assert np.allclose(np.array([r.f for r in out]), np.sqrt(2.0 / panel.DIRECTIONS) * np.cos(x @ turn + shift), rtol=0, atol=1e-12)
+
+
 def test_staged_tables_leave_no_shuffle_files(spark):
     import time
 
